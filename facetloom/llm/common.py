@@ -55,3 +55,61 @@ def code_points(data: bytes, offsets: np.ndarray) -> np.ndarray:
 def remainder(key: str, divisor: int) -> Column:
     """crc32 of a column's value as text, modulo ``divisor``; null for null."""
     return F.crc32(F.col(key).cast("string").cast("binary")) % divisor
+
+
+def write_array(uri: str, array: np.ndarray) -> None:
+    """Write an array to the shared folder: under another name first, so that a task that is run twice leaves one whole file."""
+    import os
+    import uuid
+
+    from pyarrow import fs
+
+    store, path = fs.FileSystem.from_uri(uri)
+    store.create_dir(os.path.dirname(path))
+    part = f"{path}.{uuid.uuid4().hex}"
+    with store.open_output_stream(part) as out:
+        out.write(np.ascontiguousarray(array).view(np.uint8).data)
+    store.move(part, path)
+
+
+def map_array(uri: str, dtype: str) -> np.ndarray:
+    """A memory-mapped array of the shared folder; from a store without files it is fetched to the worker's own folder first."""
+    import hashlib
+    import os
+    import tempfile
+
+    from pyarrow import fs
+
+    store, path = fs.FileSystem.from_uri(uri)
+    if not isinstance(store, fs.LocalFileSystem):
+        own = os.path.join(tempfile.gettempdir(), hashlib.sha1(uri.encode()).hexdigest())
+        if not os.path.exists(own):
+            with store.open_input_stream(path) as source, open(f"{own}.{os.getpid()}", "wb") as out:
+                while chunk := source.read(1 << 20):
+                    out.write(chunk)
+            os.replace(f"{own}.{os.getpid()}", own)
+        path = own
+    return np.memmap(path, dtype=dtype, mode="r") if os.path.getsize(path) else np.empty(0, dtype=dtype)
+
+
+def pack_sorted(keys: np.ndarray, counts: np.ndarray) -> tuple[bytes, bytes]:
+    """Sorted uint64 keys as differences, four bytes each where they fit, and their counts."""
+    gaps = np.diff(keys, prepend=np.uint64(0))
+    wide = bool(len(gaps)) and int(gaps.max()) >> 32 > 0
+    small = not len(counts) or int(counts.max()) < 256
+    return b"\x01" * wide + b"\x00" * (not wide) + gaps.astype("<u8" if wide else "<u4").tobytes(), b"\x00" * small + b"\x01" * (not small) + counts.astype("u1" if small else "<u8").tobytes()
+
+
+def unpack_sorted(keys: bytes, counts: bytes) -> tuple[np.ndarray, np.ndarray]:
+    gaps = np.frombuffer(keys, dtype="<u8" if keys[0] else "<u4", offset=1).astype(np.uint64)
+    return np.cumsum(gaps, dtype=np.uint64), np.frombuffer(counts, dtype="<u8" if counts[0] else "u1", offset=1).astype(np.int64)
+
+
+def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order with the sums of their counts."""
+    if not len(keys):
+        return keys, counts
+    order = np.argsort(keys, kind="stable")
+    keys, counts = keys[order], counts[order]
+    first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+    return keys[first], np.add.reduceat(counts, first)
