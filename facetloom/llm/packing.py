@@ -21,6 +21,7 @@ rows that repeat are packed each; an empty table gives no rows.
 from __future__ import annotations
 
 import os
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
@@ -36,43 +37,81 @@ TOKENS = 4096
 END_ID = 1
 BUCKETS = 512
 #: Bytes of remembered ids at which a worker forgets them.
-MEMO_BYTES = 64 << 20
+MEMO_BYTES = 192 << 20
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, bucket int"
 
 
+#: Letters below this code point are tokenized by the merges alone, without the tokenizer's Unicode passes.
+PLAIN_LETTERS = 0x180
+
+
+def byte_letters() -> list[str]:
+    """The vocabulary's letter for each byte: printable ones stand for themselves, others follow from 256."""
+    own = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    rest = iter(range(256, 512))
+    return [chr(b if b in own else next(rest)) for b in range(256)]
+
+
 class WordTokenizer:
-    """Little-endian uint32 ids of texts, with a memory of words."""
+    """Little-endian uint32 ids of texts, with a memory of words.
+
+    A word is what stands between white space, and a word of letters before a full stop or
+    comma is remembered without it. Words of common letters go straight to the merges.
+    """
 
     def __init__(self, path: str) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        self.encode = Tokenizer.from_file(path).encode_batch_fast
+        self.tokenizer = Tokenizer.from_file(path)
+        self.merge = self.tokenizer.model.tokenize
+        self.letters = byte_letters()
         self.memo: dict[bytes, bytes] = {}
+        self.cores: dict[bytes, bytes] = {}
         self.held = 0
-
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.asarray(x.ids, dtype="<u4").tobytes() for x in self.encode(texts, add_special_tokens=False)]
+        self.marks = {m: self.whole(m.decode()) for m in (b".", b",")}
+
+    def whole(self, text: str) -> bytes:
+        return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+
+    def core(self, word: bytes) -> bytes:
+        """Ids of a word with A-Z lower-cased."""
+        ids = self.cores.get(word)
+        if ids is None:
+            if word.isalpha():
+                ids = np.asarray([t.id for t in self.merge(word.decode())], dtype="<u4").tobytes()
+            else:
+                text = word.decode()
+                low = "".join(c.lower() for c in unicodedata.normalize("NFC", text))
+                if low.isalpha() and max(low) < chr(PLAIN_LETTERS):
+                    ids = np.asarray([t.id for t in self.merge("".join(map(self.letters.__getitem__, low.encode())))], dtype="<u4").tobytes()
+                else:
+                    ids = self.whole(text)
+            self.cores[word] = ids
+            self.held += len(word) + len(ids) + 160
+        return ids
 
     def learn(self, words: set[bytes]) -> None:
-        new = [w for w in words if w not in self.memo]
-        for w, ids in zip(new, self._ids([w.decode() for w in new]), strict=True):
+        if self.held > MEMO_BYTES:
+            self.memo.clear()
+            self.cores.clear()
+            self.held = 0
+        for w in words.difference(self.memo):
+            low, mark = w.lower(), w[-1:]
+            ids = self.core(low[:-1]) + self.marks[mark] if mark in self.marks and low[-2:-1].isalpha() else self.core(low)
             self.memo[w] = ids
-            self.held += len(w) + len(ids) + 150
+            self.held += len(w) + len(ids) + 160
 
     def __call__(self, texts: list[bytes | None]) -> Iterator[bytes]:
         for text in texts:
             if text and b"<|" in text:
-                yield self._ids([text.decode()])[0]
+                yield self.whole(text.decode())
                 continue
             words = (text or b"").split()
             try:
                 yield b"".join(map(self.memo.__getitem__, words))
             except KeyError:
-                if self.held > MEMO_BYTES:
-                    self.memo.clear()
-                    self.held = 0
                 self.learn(set(words))
                 yield b"".join(map(self.memo.__getitem__, words))
 

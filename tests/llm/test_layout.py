@@ -123,3 +123,11 @@ def test_heavier_subtree_only_gains(spark):
 @pytest.mark.parametrize("query", [op9_best_fit_packing, op10_hash_tree_shards])
 def test_empty(spark, empty_dir, query):
     assert query(spark, empty_dir).collect() == []
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.text(alphabet="aZé ßÅΣςİK.,'stm0½ ́Å \x1c\n\t-&漢ñ", max_size=12), max_size=6))
+def test_word_tokenizer(texts):
+    words = packing.WordTokenizer(packing.default_tokenizer())
+    got = list(words([t.encode() for t in texts]))
+    assert got == [words.whole(t) for t in texts]
