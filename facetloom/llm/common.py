@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows in an Arrow batch; a batch of the longest texts must fit in a Python worker.
-BATCH_ROWS = 2000
+BATCH_ROWS = 1000
 #: Bytes of text that an operator holds at once; longer batches are worked on in parts.
 BLOCK_BYTES = 16 << 20
 

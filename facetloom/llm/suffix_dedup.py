@@ -5,6 +5,9 @@ smaller doc_id. Suffixes are sampled, without loss: every string of LENGTH bytes
 under its anchor, the place inside it whose next ``ANCHOR`` bytes hash least, and equal
 strings have their anchors at equal places. Only anchors that two documents share take part.
 
+Whole copies of a text are found first, by its digest: all but the least document's lose
+everything and take no further part.
+
 1. Anchors of a block of texts are exchanged as sorted, difference-coded hashes; those that
    two documents share go back to their documents.
 2. For each such anchor, the suffix that begins there (LENGTH bytes, then the bytes before
@@ -30,6 +33,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,7 +47,7 @@ ENTRY = LENGTH + SIDE
 BITS = 40
 PART = 1 << 24
 #: Texts hashed at once, texts whose anchors are sorted at once, and text for one bucket.
-STEP, BLOCK, BUCKET = 1 << 20, 16 << 20, 16 << 20
+STEP, BLOCK, BUCKET = 1 << 20, 4 << 20, 3 << 19
 #: Where rows with a null doc_id begin in the order.
 LAST = 1 << 62
 
@@ -180,17 +184,20 @@ def shared_anchors(docs: DataFrame, buckets: int) -> DataFrame:
     return sent.groupBy("bucket").applyInArrow(meet, "doc long, anchors binary")
 
 
-def entries_of(texts: list[bytes], of: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Bytes around anchors (SIDE before, LENGTH from there; zeros beyond the text), and how many are there on either side."""
-    out = np.zeros((len(of), ENTRY), dtype=np.uint8)
-    left, right = np.minimum(place, SIDE), np.empty(len(of), dtype=np.int64)
-    begin = _first_of_runs(of) if len(of) else np.empty(0, dtype=np.int64)
+def entries_of(texts: list[bytes], of: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """A row for each anchor: the suffix from there, the bytes before it in reverse (zeros
+    beyond the text), and how many bytes of the text are there before it and from it on."""
+    out = np.zeros((len(of), ENTRY + 2), dtype=np.uint8)
+    out[:, ENTRY] = np.minimum(place, SIDE)
+    begin = _first_of_runs(of)
     for a, b in zip(begin, np.append(begin, len(of))[1:], strict=True):
         text = texts[of[a]]
         padded = np.frombuffer(bytes(SIDE) + text + bytes(LENGTH), dtype=np.uint8)
-        out[a:b] = np.lib.stride_tricks.sliding_window_view(padded, ENTRY)[place[a:b]]
-        right[a:b] = np.minimum(len(text) - place[a:b], LENGTH)
-    return out, left, right
+        around = np.lib.stride_tricks.sliding_window_view(padded, ENTRY)[place[a:b]]
+        out[a:b, :LENGTH] = around[:, SIDE:]
+        out[a:b, LENGTH:ENTRY] = around[:, SIDE - 1 :: -1]
+        out[a:b, ENTRY + 1] = np.minimum(len(text) - place[a:b], LENGTH)
+    return out
 
 
 def front_coded(strings: np.ndarray) -> tuple[bytes, bytes]:
@@ -281,11 +288,6 @@ def merged(runs: list[tuple[list[bytes], bytes]], width: int) -> tuple[list[tupl
     return order, shared
 
 
-def _turned(entries: np.ndarray) -> np.ndarray:
-    """The suffix from the anchor, then the bytes before it in reverse."""
-    return np.ascontiguousarray(np.concatenate((entries[:, SIDE:], entries[:, SIDE - 1 :: -1]), axis=1))
-
-
 def covered(entries: np.ndarray, left: np.ndarray, right: np.ndarray, doc: np.ndarray) -> np.ndarray:
     """[rows, SIDE + 1]: whether the string that begins j bytes before the anchor is also in a row with a smaller document."""
     n = len(entries)
@@ -364,18 +366,16 @@ def covered_spans(found: DataFrame, buckets: int) -> DataFrame:
                 of, place, h = of[keep], place[keep], h[keep]
                 rows = []
                 if len(of):
-                    entries, left, right = entries_of(part, of, place)
-                    doc, row = ids[a:b][of], hashes[a:b][of]
-                    turned = _turned(entries)
-                    text = np.concatenate((turned, left[:, None].astype(np.uint8), right[:, None].astype(np.uint8)), axis=1)
-                    order = np.lexsort((doc, np.ascontiguousarray(text).view(f"S{ENTRY + 2}").ravel(), _bucket(h, buckets)))
-                    text, doc, row, place, left, right, bucket = text[order], doc[order], row[order], place[order], left[order], right[order], _bucket(h, buckets)[order]
+                    text = entries_of(part, of, place)
+                    doc, row, bucket = ids[a:b][of], hashes[a:b][of], _bucket(h, buckets)
+                    order = np.lexsort((doc, text.view(f"S{ENTRY + 2}").ravel(), bucket))
+                    text, doc, row, place, bucket = text[order], doc[order], row[order], place[order], bucket[order]
                     first = np.flatnonzero(np.concatenate(([True], (text[1:] != text[:-1]).any(axis=1) | (bucket[1:] != bucket[:-1]))))
                     least = np.repeat(doc[first], np.diff(np.append(first, len(doc))))
                     settled = doc > least
                     if settled.any():
                         offsets = np.arange(SIDE + 1)[None]
-                        cover = (left[settled, None] >= offsets) & (right[settled, None] >= LENGTH - offsets)
+                        cover = (text[settled, ENTRY, None] >= offsets) & (text[settled, ENTRY + 1, None] >= LENGTH - offsets)
                         at, spans = spans_of(place[settled], cover)
                         rows += [(d % buckets, -1, d, r, v, b"", b"", b"", b"") for d, r, v in zip(*_grouped(spans.astype("<i8"), doc[settled][at], row[settled][at]), strict=True)]
                     go = ~settled
@@ -385,7 +385,7 @@ def covered_spans(found: DataFrame, buckets: int) -> DataFrame:
                         s = slice(cut[k], cut[k + 1])
                         if s.start < s.stop:
                             lcp, rests = front_coded(text[s])
-                            rows.append((k, 0, 0, 0, lcp, rests, *(x[s].astype("<i8").tobytes() for x in (doc, row, place))))
+                            rows.append((k, 0, 0, 0, lcp, zstandard.compress(rests), *(x[s].astype("<i8").tobytes() for x in (doc, row, place))))
                 kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), *[pa.binary()] * 5]
                 columns = [pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)]
                 yield pa.RecordBatch.from_arrays(columns, names=["bucket", "kind", "doc", "row", "lcp", "rests", "docs", "rows", "places"])
@@ -398,7 +398,7 @@ def covered_spans(found: DataFrame, buckets: int) -> DataFrame:
                 for x, v in zip(out, (doc, row, lcp), strict=True):
                     x.append(v)
             else:
-                runs.append((from_front_coded(lcp, rests, ENTRY + 2), lcp))
+                runs.append((from_front_coded(lcp, zstandard.decompress(rests), ENTRY + 2), lcp))
                 columns.append([np.frombuffer(x, dtype="<i8") for x in given])
         if runs:
             order, shared = merged(runs, ENTRY + 2)
@@ -442,18 +442,29 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     own = docs.select(F.coalesce(F.col("doc_id").cast("long"), nameless).alias("doc"), "text", row.alias("row"))
     size = own.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(8, -(-size // BUCKET))
-    lists = shared_anchors(own.select("doc", "text"), buckets).groupBy("doc").agg(F.collect_list("anchors").alias("anchors"))
-    spans = covered_spans(own.join(lists, "doc").select("doc", "text", "anchors", "row"), buckets)
+    digests = own.select("doc", "row", F.md5(F.col("text").cast("binary")).alias("digest"))
+    first = digests.groupBy("digest").agg(F.min("doc").alias("first"))
+    copies = digests.join(first, "digest").where("doc > first").groupBy("doc").agg(F.collect_set("row").alias("copies"))
+    # the texts are exchanged once, by document, for all three uses of them
+    own = own.join(copies, "doc", "left").withColumn("copy", F.coalesce(F.array_contains("copies", F.col("row")), F.lit(False))).drop("copies")
+    lone = own.where("not copy")
+    lists = shared_anchors(lone.select("doc", "text"), buckets).groupBy("doc").agg(F.collect_list("anchors").alias("anchors"))
+    spans = covered_spans(lone.join(lists, "doc").select("doc", "text", "anchors", "row"), buckets)
     spans = spans.groupBy("doc").agg(F.collect_list(F.struct("row", "spans")).alias("spans"))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [t or b"" for t in utf8(batch.column(1))]
-            parts = [cut(t, [x["spans"] for x in s or () if x["row"] == r]) for t, s, r in zip(texts, batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+            parts = []
+            for t, s, r, copy in zip(texts, *(batch.column(i).to_pylist() for i in (2, 3, 4)), strict=True):
+                if copy:
+                    parts.append((len(t), 1, b"") if len(t) >= LENGTH else (0, 0, t))
+                else:
+                    parts.append(cut(t, [x["spans"] for x in s or () if x["row"] == r]))
             ids = pa.array([None if d >= LAST else d for d in batch.column(0).to_pylist()], pa.int64())
             yield pa.RecordBatch.from_arrays([ids, pa.array([len(t) for t in texts], pa.int64()), pa.array([p[0] for p in parts], pa.int64()), pa.array([p[1] for p in parts], pa.int64()), pa.array([p[2] for p in parts], pa.binary())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
-    return map_arrow(own.join(spans, "doc", "left").select("doc", "text", "spans", "row"), work, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    return map_arrow(own.join(spans, "doc", "left").select("doc", "text", "spans", "row", "copy"), work, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
