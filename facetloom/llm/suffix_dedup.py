@@ -45,9 +45,9 @@ SIDE = LENGTH - ANCHOR
 ENTRY = LENGTH + SIDE
 #: Bits of an anchor's hash; anchors that collide are told apart by their bytes in step 4.
 BITS = 40
-PART = 1 << 24
+PART = 1 << 20
 #: Texts hashed at once, texts whose anchors are sorted at once, and text for one bucket.
-STEP, BLOCK, BUCKET = 1 << 20, 4 << 20, 3 << 19
+STEP, BLOCK, BUCKET = 1 << 18, 2 << 20, 1 << 20
 #: Where rows with a null doc_id begin in the order.
 LAST = 1 << 62
 
@@ -90,7 +90,7 @@ def _anchors(data: bytes, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     if not len(found):
         return (np.empty(0, dtype=np.int64), np.empty(0, dtype=np.uint64))
     found = found[np.concatenate(([True], found[1:] != found[:-1]))]
-    return (found & np.uint64(PART - 1)).astype(np.int64), found >> np.uint64(24)
+    return (found & np.uint64((1 << 24) - 1)).astype(np.int64), found >> np.uint64(24)
 
 
 def anchors(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
