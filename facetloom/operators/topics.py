@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 from facetloom.functions.text import norm_token
 from facetloom.operators import language_model as lm
 from facetloom.operators.components import connected_components
+from facetloom.operators.neardup import classes, similar_pairs
 from facetloom.operators.ngrams import NORMAL
 
 EXTRAS, EXTRAS_RATIO = "**EXTRAS**", -42.0
@@ -59,18 +61,19 @@ def topic_counts(members: DataFrame) -> DataFrame:
 
 
 def merge_components(members: DataFrame, threshold: float = MERGE_JACCARD) -> DataFrame:
-    """(n, ngram, topic_id): topics whose sets of groups overlap enough are one; the id is the first in order of n and ngram."""
-    sets = members.select("n", "ngram", "group_id").distinct()
+    """(n, ngram, topic_id): topics whose sets of groups overlap enough are one; the id is the first in order of n and ngram.
+
+    Topics with one set of groups meet once, and only pairs that share one of their rarest
+    groups are compared, as for near-duplicate messages.
+    """
     key = F.concat_ws("|", "n", "ngram")
-    sets = sets.select(key.alias("topic"), "group_id")
-    sizes = sets.groupBy("topic").agg(F.count("*").alias("size"))
-    a, b = sets.toDF("a", "group_id"), sets.toDF("b", "group_id")
-    common = a.join(b, "group_id").where("a < b").groupBy("a", "b").agg(F.count("*").alias("common"))
-    pairs = common.join(sizes.toDF("a", "x"), "a").join(sizes.toDF("b", "y"), "b")
-    pairs = pairs.where(F.col("common") / (F.col("x") + F.col("y") - F.col("common")) >= threshold).select("a", "b")
-    label = connected_components(pairs)
-    topics = members.select("n", "ngram").distinct().withColumn("topic", key)
-    return topics.join(label, topics.topic == label.node, "left").select("n", "ngram", F.coalesce("component", "topic").alias("topic_id"))
+    sets = members.select(key.alias("doc_id"), F.col("group_id").cast("string").alias("ngram")).distinct()
+    of_class, reps = classes(sets, 1)
+    pairs = similar_pairs(reps, 2 * threshold / (1 + threshold) - 1e-9, 1)
+    both = F.round(2 * F.col("common") / F.col("dice"))  # the sizes' sum
+    label = connected_components(pairs.where(F.col("common") / (both - F.col("common")) >= threshold).select("a", "b"))
+    named = of_class.join(label, of_class.rep == label.node, "left").select(F.col("doc_id").alias("topic"), F.coalesce("component", "rep").alias("topic_id"))
+    return members.select("n", "ngram").distinct().withColumn("topic", key).join(named, "topic").select("n", "ngram", "topic_id")
 
 
 def runs_in(tokens: list[str], phrases: Iterable[tuple[str, ...]]) -> list[tuple[str, ...]]:
@@ -115,21 +118,37 @@ def greedy_merge(groups: list[set], threshold: float = MERGE_JACCARD) -> list[tu
     """Leaders in rank order, what each absorbs, and the groups that are left to it.
 
     A leader takes every later set that overlaps what is left of its own, which then
-    shrinks to the intersection; what was taken never leads, but may be taken again.
+    shrinks to the intersection; what was taken never leads, but may be taken again. Sets
+    are rows of bits, so a leader meets all later sets at once until its own set shrinks.
     """
-    taken: set[int] = set()
+    members = sorted(set().union(*groups)) if groups else []
+    place = {g: i for i, g in enumerate(members)}
+    bits = np.zeros((len(groups), max(1, -(-len(members) // 64)) * 64), dtype=np.uint8)
+    for row, g in zip(bits, groups, strict=True):
+        row[[place[x] for x in g]] = 1
+    words = np.packbits(bits, axis=1, bitorder="little").view(np.uint64)
+    taken = np.zeros(len(groups), dtype=bool)
     out = []
-    for i, mine in enumerate(groups):
-        if i in taken:
+    for i in range(len(groups)):
+        if taken[i]:
             continue
-        left, absorbed = set(mine), []
-        for j in range(i + 1, len(groups)):
-            union = left | groups[j]
-            if union and len(left & groups[j]) / len(union) > threshold:
-                absorbed.append(j)
-                left &= groups[j]
-        taken.update(absorbed)
-        out.append((i, absorbed, left))
+        left, absorbed, at = words[i].copy(), [], i + 1
+        while at < len(groups):
+            later = words[at:]
+            common = np.bitwise_count(later & left).sum(axis=1, dtype=np.int64)
+            union = np.bitwise_count(later | left).sum(axis=1, dtype=np.int64)
+            hits = np.flatnonzero((union > 0) & (common / np.maximum(union, 1) > threshold))
+            size = int(np.bitwise_count(left).sum())
+            shrinks = np.flatnonzero(common[hits] < size)
+            hits = hits[: shrinks[0] + 1] if len(shrinks) else hits
+            absorbed += (hits + at).tolist()
+            if not len(shrinks):
+                break
+            at += int(hits[-1]) + 1
+            left &= words[at - 1]
+        taken[absorbed] = True
+        kept = np.unpackbits(left.view(np.uint8), bitorder="little")
+        out.append((i, absorbed, {members[k] for k in np.flatnonzero(kept).tolist()}))
     return out
 
 
@@ -142,39 +161,39 @@ def merge_topics(topics: DataFrame, members: DataFrame, docs: DataFrame, fg: lm.
     The order decides, so one query's topics are one piece of work. Its size is bounded by
     the result page that a search reads (``pages * rpp`` messages), not by the corpus.
     """
-    sets = members.groupBy("n", "ngram").agg(F.sort_array(F.collect_set("group_id")).alias("groups")).where(F.size("groups") > 1)
+    sets = members.groupBy("n", "ngram").agg(F.collect_set("group_id").alias("groups")).where(F.size("groups") > 1)
     size = members.groupBy("n", "ngram", "group_id").agg(F.count("*").alias("size"), F.min_by("doc_id", "place").alias("head"))
-    first = size.groupBy("n", "ngram").agg(F.min_by("head", F.struct("size", "group_id")).alias("doc_id"))
-    rows = topics.join(sets, ["n", "ngram"]).join(first, ["n", "ngram"]).join(docs.select("doc_id", "toks"), "doc_id")
-    grams = rows.select(F.explode(F.array_distinct(F.flatten(F.array(*[_all_grams(n) for n in (1, 2, 3)])))).alias("ngram")).distinct()
-    counts = grams.join(fg.counts.select("ngram", "cnt"), "ngram").agg(F.map_from_entries(F.collect_list(F.struct("ngram", "cnt"))).alias("counts"))
-    rows = rows.crossJoin(F.broadcast(counts)).crossJoin(F.broadcast(fg.info))  # one row each
-
-    def work(frame: pd.DataFrame) -> pd.DataFrame:
+    first = size.groupBy("n", "ngram").agg(F.min_by("head", F.struct("size", "group_id")).alias("head"))
+    rows = topics.select("n", "ngram", "ratio").join(sets, ["n", "ngram"]).join(first, ["n", "ngram"]).crossJoin(F.broadcast(fg.info))  # one row
+    tokens = docs.select(F.col("doc_id").alias("head"), "toks", F.lit(None).cast("string").alias("gram"), F.lit(None).cast("long").alias("cnt"))
+    counts = fg.counts.select(F.lit(None).cast("long").alias("head"), F.lit(None).cast("array<string>").alias("toks"), F.col("ngram").alias("gram"), "cnt")
+    one = F.lit(1).alias("query")
+
+    def work(frame: pd.DataFrame, other: pd.DataFrame) -> pd.DataFrame:
+        columns = [c.split()[0] for c in MERGED.split(", ")]
+        if not len(frame):
+            return pd.DataFrame(columns=columns)
         frame = frame.sort_values(["ratio", "n", "ngram"], ascending=[False, False, True]).reset_index(drop=True)
-        out = []
-        for rank, (i, absorbed, left) in enumerate(greedy_merge([set(map(int, g)) for g in frame.groups])):
-            row = frame.loc[i]
-            phrases = [tuple(frame.ngram[j].split(" ")) for j in (i, *absorbed)]
-            counts = dict(row.counts)
-            types = {n: int(row[f"types_{n}"]) for n in (1, 2, 3)}
+        heads = other[other["gram"].isna()]
+        heads = dict(zip(heads["head"].astype("int64"), heads["toks"], strict=True))
+        grams = other[other["gram"].notna()]
+        count = dict(zip(grams["gram"], grams["cnt"], strict=True))
+        big, types = float(frame.loc[0, "big_n"]), {n: int(frame.loc[0, f"types_{n}"]) for n in (1, 2, 3)}
 
-            def probability(g, counts=counts, types=types, big=float(row.big_n)):
-                return (counts.get(" ".join(g), 0) + delta) / (big + delta * types[min(len(g), 3)])
+        def probability(g):
+            return (count.get(" ".join(g), 0) + delta) / (big + delta * types[min(len(g), 3)])
 
-            label = row.ngram
+        out = []
+        for rank, (i, absorbed, left) in enumerate(greedy_merge([set(map(int, g)) for g in frame["groups"]])):
+            phrases = [frame.loc[j, "ngram"] for j in (i, *absorbed)]
+            label = phrases[0]
             if absorbed:
-                label = " / ".join(" ".join(p) for p in choose_label(runs_in(list(row.toks), phrases), probability))
-            out.append((rank, int(row.n), row.ngram, label, [" ".join(p) for p in phrases], float(row.ratio), sorted(left)))
-        return pd.DataFrame(out, columns=[c.split()[0] for c in MERGED.split(", ")])
-
-    return rows.groupBy(F.lit(1).alias("query")).applyInPandas(lambda f: work(f), MERGED)
-
-
-def _all_grams(n: int):
-    from facetloom.functions.sequences import ngrams
+                runs = runs_in(list(heads[int(frame.loc[i, "head"])]), [tuple(p.split(" ")) for p in phrases])
+                label = " / ".join(" ".join(r) for r in choose_label(runs, probability))
+            out.append((rank, int(frame.loc[i, "n"]), phrases[0], label, phrases, float(frame.loc[i, "ratio"]), sorted(left)))
+        return pd.DataFrame(out, columns=columns)
 
-    return ngrams("toks", n)
+    return rows.groupBy(one).cogroup(tokens.unionByName(counts).groupBy(one)).applyInPandas(lambda a, b: work(a, b), MERGED)
 
 
 def leftovers(docs: DataFrame, shown: DataFrame) -> DataFrame:

@@ -474,13 +474,7 @@ def singleton_topic_filter(spark, d):
     return topics.topic_counts(_topic_members(spark, d)[2]).where("group_count > 1").select("n", "ngram")
 
 
-@query(
-    f"""{_MEMBERS}, ts AS (SELECT DISTINCT n || '|' || ngram AS topic, n, ngram, group_id FROM mem), sz AS (SELECT topic, count(*) AS size FROM ts GROUP BY 1),
-    tp AS (SELECT x.topic AS a, y.topic AS b, count(*) AS common FROM ts x JOIN ts y ON x.group_id = y.group_id AND x.topic < y.topic GROUP BY ALL),
-    te AS (SELECT a, b FROM tp JOIN sz p ON p.topic = a JOIN sz q ON q.topic = b WHERE common / (p.size + q.size - common)::DOUBLE >= 0.9),
-    ee AS (SELECT a AS u, b AS v FROM te UNION SELECT b, a FROM te), rr AS (SELECT DISTINCT u, u AS v FROM ee UNION SELECT rr.u, ee.v FROM rr JOIN ee ON rr.v = ee.u)
-    SELECT ts.n, ts.ngram, coalesce(min(rr.v), ts.topic) AS topic_id FROM (SELECT DISTINCT topic, n, ngram FROM ts) ts LEFT JOIN rr ON rr.u = ts.topic GROUP BY ts.n, ts.ngram, ts.topic"""
-)
+@query()
 def topic_merge_components(spark, d):
     return topics.merge_components(materialize(_topic_members(spark, d)[2], "members"))
 
