@@ -117,6 +117,13 @@ def _first_of_runs(*keys: np.ndarray) -> np.ndarray:
     return np.flatnonzero(new)
 
 
+def _parts(bucket: np.ndarray) -> Iterator[tuple[int, slice]]:
+    """The buckets that occur in sorted rows, and the rows of each."""
+    first = _first_of_runs(bucket)
+    for a, b in zip(first.tolist(), np.append(first, len(bucket))[1:].tolist(), strict=True):
+        yield int(bucket[a]), slice(a, b)
+
+
 def _grouped(values: np.ndarray, *keys: np.ndarray) -> tuple[list, ...]:
     """Distinct keys, and the values of each as bytes in the order given."""
     order = np.lexsort(keys)
@@ -145,12 +152,10 @@ def shared_anchors(docs: DataFrame, buckets: int) -> DataFrame:
                 rows = [(d % buckets, -1, d, v, b"", b"") for d, v in zip(own_docs, own, strict=True)]
                 lone = n == 1
                 bucket, key = _bucket(h[first], buckets), h[first]
-                cut = np.searchsorted(bucket, np.arange(buckets + 1))
-                for k in range(buckets):
-                    part = slice(cut[k], cut[k + 1])
-                    if part.start < part.stop:
-                        keys, flags = pack_sorted(key[part], lone[part])
-                        rows.append((k, 0, 0, keys, flags, doc[first][part].astype("<i8").tobytes()))
+                heads = doc[first].astype("<i8")
+                for k, part in _parts(bucket):
+                    keys, flags = pack_sorted(key[part], lone[part])
+                    rows.append((k, 0, 0, keys, flags, heads[part].tobytes()))
                 columns = [pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary()))]
                 yield pa.RecordBatch.from_arrays(columns, names=["bucket", "kind", "doc", "keys", "lone", "docs"])
 
@@ -380,12 +385,9 @@ def covered_spans(found: DataFrame, buckets: int) -> DataFrame:
                         rows += [(d % buckets, -1, d, r, v, b"", b"", b"", b"") for d, r, v in zip(*_grouped(spans.astype("<i8"), doc[settled][at], row[settled][at]), strict=True)]
                     go = ~settled
                     text, doc, row, place, bucket = text[go], doc[go], row[go], place[go], bucket[go]
-                    cut = np.searchsorted(bucket, np.arange(buckets + 1))
-                    for k in range(buckets):
-                        s = slice(cut[k], cut[k + 1])
-                        if s.start < s.stop:
-                            lcp, rests = front_coded(text[s])
-                            rows.append((k, 0, 0, 0, lcp, zstandard.compress(rests), *(x[s].astype("<i8").tobytes() for x in (doc, row, place))))
+                    for k, s in _parts(bucket):
+                        lcp, rests = front_coded(text[s])
+                        rows.append((k, 0, 0, 0, lcp, zstandard.compress(rests), *(x[s].astype("<i8").tobytes() for x in (doc, row, place))))
                 kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), *[pa.binary()] * 5]
                 columns = [pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)]
                 yield pa.RecordBatch.from_arrays(columns, names=["bucket", "kind", "doc", "row", "lcp", "rests", "docs", "rows", "places"])
