@@ -44,6 +44,13 @@ def blocks(sizes: list[int], most: int = BLOCK_BYTES) -> Iterator[tuple[int, int
         yield start, len(sizes)
 
 
+def parts(bucket: np.ndarray) -> Iterator[tuple[int, slice]]:
+    """The buckets that occur in sorted rows, and the rows of each."""
+    first = np.flatnonzero(np.diff(bucket, prepend=-1))
+    for a, b in zip(first.tolist(), np.append(first, len(bucket))[1:].tolist(), strict=True):
+        yield int(bucket[a]), slice(a, b)
+
+
 def code_points(data: bytes, offsets: np.ndarray) -> np.ndarray:
     """Offsets in bytes of UTF-8 as offsets in code points."""
     if data.isascii() or not len(offsets):

@@ -11,7 +11,10 @@ is a set of sorted arrays in the shared folder, which workers map into memory:
 Word arrays are cut by hash, pair arrays by the running count of the first word: buckets
 have like shares of the corpus, and a word with a large share spans several of them,
 dealt out by the second word. Every exchange carries sorted, difference-coded blocks that
-were summed before. What is gathered on the driver is one row for each bucket.
+were summed before. What is gathered on the driver is one row for each word bucket, of
+which there are ``WORD_BUCKETS`` at most; that table goes with every task. Workers visit
+the buckets that their texts need and hold ``MAPS`` of each kind of mapping at most, for
+an operating system limits how many a process may have.
 
 Order two is the production order: the table documents at sf0.1 has 0.74 distinct trigrams
 a token, so their exchange would be about as large as the tokens themselves.
@@ -24,6 +27,7 @@ token has probability 1; an empty table gives no rows.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import repeat
 
 import numpy as np
@@ -31,12 +35,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from facetloom.llm.common import blocks, map_array, map_arrow, pack_sorted, remainder, summed, table, unpack_sorted, utf8, write_array
+from facetloom.llm.common import blocks, map_array, map_arrow, pack_sorted, parts, remainder, summed, table, unpack_sorted, utf8, write_array
 from facetloom.shared import materialize, new_path
 
 FOLDS, HELD_OUT = 7, 2
 #: Bytes of text for a bucket of words, and tokens for a bucket of pairs.
 WORD_BUCKET, PAIR_BUCKET = 32 << 20, 2_000_000
+#: Word buckets at most (beyond, each has more text), and mappings that a worker holds of words and of pairs.
+WORD_BUCKETS, MAPS = 1 << 16, 1 << 13
 BLOCK = 8 << 20
 PACKED = "bucket int, keys binary, counts binary"
 
@@ -56,16 +62,16 @@ def tokens_of(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
     import xxhash
 
     begin, end = _hash(BEGIN.encode()), _hash(END.encode())
-    parts, starts, at = [], [], 0
+    runs, starts, at = [], [], 0
     for text in texts:
         words = (text or b"").lower().split()
         hashes = np.empty(len(words) + 2, dtype=np.uint64)
         hashes[0], hashes[-1] = begin, end
         hashes[1:-1] = np.fromiter(map(xxhash.xxh64_intdigest, words), dtype=np.uint64, count=len(words))
-        parts.append(hashes)
+        runs.append(hashes)
         starts.append(at)
         at += len(hashes)
-    return np.concatenate(parts) if parts else np.empty(0, dtype=np.uint64), np.asarray(starts, dtype=np.int64)
+    return np.concatenate(runs) if runs else np.empty(0, dtype=np.uint64), np.asarray(starts, dtype=np.int64)
 
 
 def _word_bucket(hashes: np.ndarray, n: int) -> np.ndarray:
@@ -75,14 +81,13 @@ def _word_bucket(hashes: np.ndarray, n: int) -> np.ndarray:
 
 def _packed(bucket: np.ndarray, keys: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
     """A row for each bucket; rows are sorted by bucket and key."""
-    edges = np.flatnonzero(np.diff(bucket, prepend=-1))
-    rows = [(int(bucket[a]), *pack_sorted(keys[a:b], counts[a:b])) for a, b in zip(edges, np.append(edges, len(bucket))[1:], strict=True)]
+    rows = [(k, *pack_sorted(keys[part], counts[part])) for k, part in parts(bucket)]
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int32(), pa.binary(), pa.binary()))], names=["bucket", "keys", "counts"])
 
 
 def _unpacked(group: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    parts = [unpack_sorted(k, c) for k, c in zip(group.column("keys").to_pylist(), group.column("counts").to_pylist(), strict=True)]
-    return summed(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]))
+    packed = [unpack_sorted(k, c) for k, c in zip(group.column("keys").to_pylist(), group.column("counts").to_pylist(), strict=True)]
+    return summed(np.concatenate([p[0] for p in packed]), np.concatenate([p[1] for p in packed]))
 
 
 class Words:
@@ -90,22 +95,15 @@ class Words:
 
     def __init__(self, path: str, base: list[tuple[int, int]]) -> None:
         self.path, self.base, self.n = path, base, len(base)
-        self.maps: dict[tuple[str, int], np.ndarray] = {}
-
-    def array(self, name: str, bucket: int, dtype: str) -> np.ndarray:
-        if (name, bucket) not in self.maps:
-            self.maps[name, bucket] = map_array(f"{self.path}/{name}-{bucket}", dtype)
-        return self.maps[name, bucket]
+        self.array = lru_cache(MAPS)(lambda name, bucket, dtype: map_array(f"{path}/{name}-{bucket}", dtype))
 
     def look_up(self, hashes: np.ndarray, *names: str) -> tuple[np.ndarray, list[np.ndarray]]:
         """Numbers (-1: unknown) of sorted distinct hashes, and their values in the named arrays."""
         numbers = np.full(len(hashes), -1, dtype=np.int64)
         values = [np.zeros((len(hashes), 3) if n == "follow" else len(hashes), dtype=np.int64) for n in names]
-        edges = np.searchsorted(_word_bucket(hashes, self.n), np.arange(self.n + 1))
-        for b in range(self.n):
-            part = slice(edges[b], edges[b + 1])
+        for b, part in parts(_word_bucket(hashes, self.n)):
             known = self.array("hash", b, "<u8")
-            if part.start == part.stop or not len(known):
+            if not len(known):
                 continue
             at = np.minimum(np.searchsorted(known, hashes[part]), len(known) - 1)
             found = known[at] == hashes[part]
@@ -153,7 +151,7 @@ def train(docs: DataFrame) -> Model:
     spark = docs.sparkSession
     path = new_path(spark, "lm")
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = max(1, -(-size // WORD_BUCKET))
+    n = min(max(1, -(-size // WORD_BUCKET)), WORD_BUCKETS)
     docs = docs.select("text")
 
     def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -214,11 +212,10 @@ def train(docs: DataFrame) -> Model:
         for kind, ids in enumerate((seconds, *(firsts[np.minimum(counts, 3) == c] for c in (1, 2, 3)))):
             ids, n = np.unique(ids, return_counts=True)
             cut = np.searchsorted(ids.astype(np.int64), edges)
-            for b in range(len(edges) - 1):
-                if cut[b] < cut[b + 1]:
-                    k, c = pack_sorted(ids[cut[b] : cut[b + 1]], n[cut[b] : cut[b + 1]])
-                    for name, v in zip(out, (b, kind, k, c), strict=True):
-                        out[name].append(v)
+            for b in np.flatnonzero(np.diff(cut)).tolist():
+                k, c = pack_sorted(ids[cut[b] : cut[b + 1]], n[cut[b] : cut[b + 1]])
+                for name, v in zip(out, (b, kind, k, c), strict=True):
+                    out[name].append(v)
         for c in (1, 2, 3, 4):
             k, c = pack_sorted(np.asarray([c], dtype=np.uint64), np.asarray([(counts == c).sum()]))
             for name, v in zip(out, (-1, 4, k, c), strict=True):
@@ -259,17 +256,15 @@ class Scorer:
 
     def __init__(self, model: Model) -> None:
         self.model, self.words = model, Words(model.path, model.base)
-        self.pairs: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        self.pairs = lru_cache(MAPS)(lambda b: (map_array(f"{model.path}/pair-{b}", "<u8"), map_array(f"{model.path}/seen-{b}", "<u4")))
 
     def seen(self, bucket: np.ndarray, keys: np.ndarray) -> np.ndarray:
         """Counts of distinct pairs."""
         out = np.zeros(len(keys), dtype=np.int64)
         order = np.argsort(bucket, kind="stable")
-        for b in np.unique(bucket).tolist():
-            if b not in self.pairs:
-                self.pairs[b] = map_array(f"{self.model.path}/pair-{b}", "<u8"), map_array(f"{self.model.path}/seen-{b}", "<u4")
-            known, counts = self.pairs[b]
-            rows = order[np.searchsorted(bucket[order], b) : np.searchsorted(bucket[order], b, side="right")]
+        for b, part in parts(bucket[order]):
+            known, counts = self.pairs(b)
+            rows = order[part]
             if len(known):
                 at = np.minimum(np.searchsorted(known, keys[rows]), len(known) - 1)
                 out[rows] = counts[at] * (known[at] == keys[rows])
@@ -319,8 +314,8 @@ def score(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
         scorer = Scorer(model)
         for batch in batches:
             texts = utf8(batch.column(len(keep)))
-            parts = [scorer(texts[a:b]) for a, b in blocks([len(t or b"") for t in texts], BLOCK)]
-            n, known, base, log = (np.concatenate([p[i] for p in parts]) if parts else np.empty(0) for i in range(4))
+            done = [scorer(texts[a:b]) for a, b in blocks([len(t or b"") for t in texts], BLOCK)]
+            n, known, base, log = (np.concatenate([p[i] for p in done]) if done else np.empty(0) for i in range(4))
             columns = [pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array(list(repeat(model.tokens, len(n))), pa.int64()), pa.array(base, pa.float64()), pa.array(log, pa.float64())]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *columns], names=[*keep, "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 

@@ -37,7 +37,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from facetloom.llm.common import blocks, map_arrow, pack_sorted, table, unpack_sorted, utf8
+from facetloom.llm.common import blocks, map_arrow, pack_sorted, parts, table, unpack_sorted, utf8
 from facetloom.llm.decontamination import runs as runs_of
 
 LENGTH, ANCHOR = 50, 20
@@ -117,13 +117,6 @@ def _first_of_runs(*keys: np.ndarray) -> np.ndarray:
     return np.flatnonzero(new)
 
 
-def _parts(bucket: np.ndarray) -> Iterator[tuple[int, slice]]:
-    """The buckets that occur in sorted rows, and the rows of each."""
-    first = _first_of_runs(bucket)
-    for a, b in zip(first.tolist(), np.append(first, len(bucket))[1:].tolist(), strict=True):
-        yield int(bucket[a]), slice(a, b)
-
-
 def _grouped(values: np.ndarray, *keys: np.ndarray) -> tuple[list, ...]:
     """Distinct keys, and the values of each as bytes in the order given."""
     order = np.lexsort(keys)
@@ -153,7 +146,7 @@ def shared_anchors(docs: DataFrame, buckets: int) -> DataFrame:
                 lone = n == 1
                 bucket, key = _bucket(h[first], buckets), h[first]
                 heads = doc[first].astype("<i8")
-                for k, part in _parts(bucket):
+                for k, part in parts(bucket):
                     keys, flags = pack_sorted(key[part], lone[part])
                     rows.append((k, 0, 0, keys, flags, heads[part].tobytes()))
                 columns = [pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary()))]
@@ -385,7 +378,7 @@ def covered_spans(found: DataFrame, buckets: int) -> DataFrame:
                         rows += [(d % buckets, -1, d, r, v, b"", b"", b"", b"") for d, r, v in zip(*_grouped(spans.astype("<i8"), doc[settled][at], row[settled][at]), strict=True)]
                     go = ~settled
                     text, doc, row, place, bucket = text[go], doc[go], row[go], place[go], bucket[go]
-                    for k, s in _parts(bucket):
+                    for k, s in parts(bucket):
                         lcp, rests = front_coded(text[s])
                         rows.append((k, 0, 0, 0, lcp, zstandard.compress(rests), *(x[s].astype("<i8").tobytes() for x in (doc, row, place))))
                 kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), *[pa.binary()] * 5]

@@ -156,6 +156,18 @@ def test_many_buckets(spark, sf_dir, documents, monkeypatch):
         assert tuple(a)[1:] == pytest.approx(tuple(b)[1:], rel=1e-9)
 
 
+def test_few_buckets_and_mappings(spark, sf_dir, documents, monkeypatch):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    texts = [None if t is None else t.encode() for _, t, *_ in documents]
+    whole = lm_scoring.Scorer(lm_scoring.train(docs))(texts)
+    for name, value in (("WORD_BUCKET", 40_000), ("WORD_BUCKETS", 3), ("PAIR_BUCKET", 3_000), ("MAPS", 1)):
+        monkeypatch.setattr(lm_scoring, name, value)
+    model = lm_scoring.train(docs)
+    assert len(model.base) == 3
+    for a, b in zip(whole, lm_scoring.Scorer(model)(texts), strict=True):
+        assert a == pytest.approx(b, rel=1e-9)
+
+
 @pytest.mark.parametrize("query", [op2_simhash_components, op7_kneser_ney])
 def test_empty(spark, empty_dir, query):
     assert query(spark, empty_dir).collect() == []
