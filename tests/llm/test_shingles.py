@@ -1,0 +1,97 @@
+"""The pipeline's near-duplicates against brute force over all pairs of shingle sets."""
+
+from collections import Counter, defaultdict
+
+import duckdb
+import numpy as np
+import pytest
+
+from facetloom.llm import shingles
+
+
+def plain_set(text):
+    words = (text or "").encode().lower().split()
+    return frozenset(tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))) if words else frozenset()
+
+
+def plain_links(sets):
+    """Pairs of distinct sets at 0.8 or more."""
+    sets = list(dict.fromkeys(sets))
+    where, out = defaultdict(list), []
+    for i, s in enumerate(sets):
+        for x in s:
+            where[x].append(i)
+    for i, s in enumerate(sets):
+        for j, c in Counter(j for x in s for j in where[x] if j < i).items():
+            if 5 * c >= 4 * (len(s) + len(sets[j]) - c):
+                out.append((sets[j], s))
+    return out
+
+
+def plain_firsts(rows):
+    sets = [plain_set(t) for _, t in rows]
+    root = {s: s for s in sets}
+
+    def find(s):
+        while root[s] is not s:
+            s = root[s]
+        return s
+
+    for a, b in plain_links(sets):
+        root[find(a)] = find(b)
+    best = {}
+    for (d, _), s in zip(rows, sets):
+        if d is not None:
+            best[find(s)] = min(d, best.get(find(s), d))
+    return sorted(best.values()), len({id(find(s)) for s in sets})
+
+
+def edited(words, n, rng):
+    words = list(words)
+    for i in rng.choice(len(words), n, replace=False):
+        words[i] = f"edit{rng.integers(1 << 40)}"
+    return " ".join(words)
+
+
+def test_stage_drops_copies_with_edited_words(spark):
+    import corpus_pipeline as pipeline
+
+    rng = np.random.default_rng(2)
+    rows = []
+    for i, n in enumerate((60, 100, 200, 400) * 5):
+        words = [f"w{x}" for x in rng.integers(0, 1 << 40, n)]
+        rows += [(3 * i, " ".join(words)), (3 * i + 1, edited(words, n // 50, rng)), (3 * i + 2, edited(words, n // 5, rng))]
+    expected, _ = plain_firsts(rows)
+    assert expected == [d for d in range(60) if d % 3 != 1]
+    df = spark.createDataFrame([(d, t, "en", "s", len(t)) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    assert sorted(r.doc_id for r in pipeline.near_duplicates(spark, df, "").collect()) == expected
+
+
+@pytest.mark.parametrize("heavy", [2048, 5])
+def test_firsts(spark, documents, heavy):
+    rng = np.random.default_rng(4)
+    rows = [(d, t) for d, t, *_ in documents]
+    base = [f"w{x}" for x in rng.integers(0, 1 << 40, 120)]
+    rows += [(30_000 + i, edited(base, int(rng.integers(0, 6)), rng)) for i in range(40)]
+    ids, n = plain_firsts(rows)
+    got = shingles.firsts(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), ["doc_id"], heavy=heavy).collect()
+    assert len(got) == n and sorted(r.doc_id for r in got if r.doc_id is not None) == ids
+
+
+def test_recall(spark):
+    """Every pair of a real table meets in a band, and passes the filters before the whole sets."""
+    texts = [t for (t,) in duckdb.sql("select text from '/root/testdata/sf0.01/documents.parquet'").fetchall()]
+    by_set = {plain_set(t): shingles.shingles((t or "").encode()) for t in texts}
+    links = plain_links(by_set)
+    assert len(links) > 2
+    for a, b in links:
+        x, y = sorted((by_set[a], by_set[b]), key=len)
+        assert set(shingles.band_keys(x)) & set(shingles.band_keys(y))
+        rows = np.asarray([[i, 0, i, len(s), *shingles.parity(s)] for i, s in enumerate((x, y))])
+        assert shingles.links_of(rows, lambda _, i, n: (x, y)[i], 0.8) == ([1], [0])
+
+
+def test_exact_limit():
+    a = np.arange(9, dtype=np.uint64)
+    assert shingles.similar(a[:8], a[:8], 0.8) and shingles.similar(a[:4], a[:5], 0.8)
+    assert not shingles.similar(a[:7], a[:9], 0.8)
