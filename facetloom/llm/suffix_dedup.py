@@ -85,7 +85,7 @@ def _anchors(data: bytes, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     low = np.minimum(low[:-span], low[span:])  # over SIDE + 1 places
     whole = np.ones(n, dtype=bool)
     for i in range(1, LENGTH):
-        whole[np.maximum(ends - i, 0)] = False
+        whole[ends[ends >= i] - i] = False  # an end before byte i crosses nothing
     found = low[whole[: len(low)]]
     if not len(found):
         return (np.empty(0, dtype=np.int64), np.empty(0, dtype=np.uint64))

@@ -71,6 +71,16 @@ def test_long_text_is_cut_in_parts(monkeypatch):
     assert np.array_equal(whole[1], parts[1]) and np.array_equal(whole[2], parts[2])
 
 
+def test_block_begins_with_empty_texts():
+    rng = np.random.default_rng(7)
+    for _ in range(200):
+        text = rng.integers(97, 101, 90, dtype=np.uint8).tobytes()
+        _, *alone = suffix_dedup.anchors([text])
+        for before in ([b""], [b"", b""], [b"", b"abc", b""]):
+            of, *found = suffix_dedup.anchors([*before, text, b""])
+            assert (of == len(before)).all() and all(np.array_equal(x, y) for x, y in zip(found, alone))
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.lists(st.lists(st.binary(min_size=4, max_size=4).map(lambda b: bytes(x & 3 for x in b)), max_size=8), min_size=1, max_size=6))
 def test_loser_tree(lists):
