@@ -5,8 +5,10 @@ from collections import Counter, defaultdict
 import duckdb
 import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
-from facetloom.llm import shingles
+from facetloom.llm import near_copies
 
 
 def plain_set(text):
@@ -74,24 +76,53 @@ def test_firsts(spark, documents, heavy):
     base = [f"w{x}" for x in rng.integers(0, 1 << 40, 120)]
     rows += [(30_000 + i, edited(base, int(rng.integers(0, 6)), rng)) for i in range(40)]
     ids, n = plain_firsts(rows)
-    got = shingles.firsts(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), ["doc_id"], heavy=heavy).collect()
+    got = near_copies.firsts(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), ["doc_id"], heavy=heavy).collect()
     assert len(got) == n and sorted(r.doc_id for r in got if r.doc_id is not None) == ids
 
 
+def links_at(x, y, least=0.8):
+    """The links that a segment in which two sets agree gives them."""
+    (a, some_a), (b, some_b) = near_copies.ring(x), near_copies.ring(y)
+    shared = set(near_copies.ring_keys(a, some_a)) & set(near_copies.ring_keys(b, some_b))
+    rows = np.asarray([[i, 0, i, len(s), *r.view("<i8")] for i, (s, r) in enumerate(((x, a), (y, b)))])
+    return [near_copies.links_of(k >> 32, rows, lambda _, i, n: (x, y)[i], least) for k in shared]
+
+
 def test_recall(spark):
-    """Every pair of a real table meets in a band, and passes the filters before the whole sets."""
+    """Every pair of a real table meets in a segment, and keeps within the budgets there."""
     texts = [t for (t,) in duckdb.sql("select text from '/root/testdata/sf0.01/documents.parquet'").fetchall()]
-    by_set = {plain_set(t): shingles.shingles((t or "").encode()) for t in texts}
+    by_set = {plain_set(t): near_copies.shingles((t or "").encode()) for t in texts}
     links = plain_links(by_set)
     assert len(links) > 2
     for a, b in links:
-        x, y = sorted((by_set[a], by_set[b]), key=len)
-        assert set(shingles.band_keys(x)) & set(shingles.band_keys(y))
-        rows = np.asarray([[i, 0, i, len(s), *shingles.parity(s)] for i, s in enumerate((x, y))])
-        assert shingles.links_of(rows, lambda _, i, n: (x, y)[i], 0.8) == ([1], [0])
+        assert ([1], [0]) in links_at(*sorted((by_set[a], by_set[b]), key=len))
+
+
+@pytest.mark.parametrize("n", [9, 40, 150, 1000, 20_000])
+def test_recall_at_the_limit(n):
+    """Pairs of sets at 0.8 itself, short and long ones."""
+    rng = np.random.default_rng(n)
+    for _ in range(200):
+        h = rng.integers(0, 1 << 64, n, dtype=np.uint64)
+        cut = n // 10
+        if len(h) - 2 * cut < 0.8 * n:
+            h = h[: len(h) - 1]
+        x, y = np.unique(h[cut:]), np.unique(h[: len(h) - cut])
+        assert near_copies.similar(x, y, 0.8)
+        assert ([1], [0]) in links_at(*sorted((x, y), key=len))
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.integers(0, 32), min_size=24, max_size=24), st.integers(0, 23))
+def test_budgets(differ, start):
+    x = np.asarray([[(1 << d) - 1 for d in differ]], dtype=np.uint32)
+    chain = [sum(differ[(start + k) % 24] for k in range(n)) for n in range(1, 25)]
+    assert bool(len(near_copies.within_budgets(x, start))) == all(24 * c <= 192 * n for n, c in enumerate(chain, 1))
+    if sum(differ) <= 192:  # a ring within the whole budget has a chain that keeps it all along
+        assert any(len(near_copies.within_budgets(x, s)) for s in range(24))
 
 
 def test_exact_limit():
     a = np.arange(9, dtype=np.uint64)
-    assert shingles.similar(a[:8], a[:8], 0.8) and shingles.similar(a[:4], a[:5], 0.8)
-    assert not shingles.similar(a[:7], a[:9], 0.8)
+    assert near_copies.similar(a[:8], a[:8], 0.8) and near_copies.similar(a[:4], a[:5], 0.8)
+    assert not near_copies.similar(a[:7], a[:9], 0.8)

@@ -117,7 +117,7 @@ def test_pipeline(spark, sf_dir, documents):
     """Each stage against a plain form of its decision on its own input."""
     import corpus_pipeline as pipeline
     from test_layout import packing
-    from test_models import plain_components, plain_fingerprint
+    from test_near_copies import plain_firsts
     from test_scans import plain_contamination
 
     from facetloom.llm import secrets
@@ -136,14 +136,10 @@ def test_pipeline(spark, sf_dir, documents):
     kept = stage(0, None)
     assert Counter(r[0] for r in kept) == Counter({d: n for (d, k), n in judged.items() if k})
     assert not Counter(kept) - Counter(given)
-    fps = [plain_fingerprint(r[1]) for r in kept]
-    of, best = plain_components(fps), {}
-    for r, f in zip(kept, fps):
-        if r[0] is not None:
-            best[of[f]] = min(r[0], best.get(of[f], r[0]))
+    ids, n = plain_firsts([r[:2] for r in kept])
     one = stage(1, kept)
-    assert sorted(r[0] for r in one if r[0] is not None) == sorted(best.values())
-    assert len(one) == len(set(of.values())) and not Counter(one) - Counter(kept)
+    assert sorted(r[0] for r in one if r[0] is not None) == ids
+    assert len(one) == n < len(kept) and not Counter(one) - Counter(kept)
     hit = [c[2] > 0 for c in plain_contamination(one, bench)]
     clean = stage(2, one)
     assert any(hit) and Counter(clean) == Counter(r for r, h in zip(one, hit) if not h)
