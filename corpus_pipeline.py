@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from facetloom.llm import decontamination, packing, quality, secrets, shingles
+from facetloom.llm import decontamination, near_copies, packing, quality, secrets
 from facetloom.llm.common import table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -21,8 +21,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component, the one with the least doc_id; documents link from a Jaccard similarity of 0.8 of their five-word shingles on."""
-    return shingles.firsts(docs.select(*COLUMNS), COLUMNS)
+    """One document of each component, the one with the least doc_id; documents link from a Jaccard similarity of 0.8 of their five-word shingles on, candidates are those of SimHash with pigeonring filtering."""
+    return near_copies.firsts(docs.select(*COLUMNS), COLUMNS)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
