@@ -6,11 +6,12 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows in an Arrow batch; a batch of the longest texts must fit in a Python worker.
-BATCH_ROWS = 1000
+#: Rows and bytes that an operator is given at once; a batch of one row may have more.
+BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
 #: Bytes of text that an operator holds at once; longer batches are worked on in parts.
 BLOCK_BYTES = 16 << 20
 
@@ -19,12 +20,28 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def split(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """A batch in parts of bounded rows and bytes; nothing is copied."""
+    for at in range(0, max(1, batch.num_rows), BATCH_ROWS):
+        part = batch.slice(at, BATCH_ROWS)
+        if part.nbytes <= BATCH_BYTES or part.num_rows < 2:
+            yield part
+            continue
+        size = np.zeros(part.num_rows, dtype=np.int64)
+        for column in part.columns:
+            if pa.types.is_string(column.type) or pa.types.is_binary(column.type):
+                size += pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+        for a, b in blocks(size.tolist(), BATCH_BYTES):
+            yield part.slice(a, b - a)
+
+
 def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
-    """``mapInArrow`` with batches of bounded rows."""
-    conf = df.sparkSession.conf
-    if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
-        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    return df.mapInArrow(fn, schema)
+    """``mapInArrow`` with batches of bounded rows and bytes; Spark bounds what it sends at once by ``spark.sql.execution.arrow.maxBytesPerBatch``."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return fn(part for batch in batches for part in split(batch))
+
+    return df.mapInArrow(work, schema)
 
 
 def utf8(column: pa.Array) -> list[bytes | None]:
@@ -80,23 +97,20 @@ def write_array(uri: str, array: np.ndarray) -> None:
 
 
 def map_array(uri: str, dtype: str) -> np.ndarray:
-    """A memory-mapped array of the shared folder; from a store without files it is fetched to the worker's own folder first."""
-    import hashlib
+    """A memory-mapped array of the shared folder; what a store without files has is fetched
+    into a file without a name, which goes when its mapping does."""
     import os
     import tempfile
 
     from pyarrow import fs
 
     store, path = fs.FileSystem.from_uri(uri)
-    if not isinstance(store, fs.LocalFileSystem):
-        own = os.path.join(tempfile.gettempdir(), hashlib.sha1(uri.encode()).hexdigest())
-        if not os.path.exists(own):
-            with store.open_input_stream(path) as source, open(f"{own}.{os.getpid()}", "wb") as out:
-                while chunk := source.read(1 << 20):
-                    out.write(chunk)
-            os.replace(f"{own}.{os.getpid()}", own)
-        path = own
-    return np.memmap(path, dtype=dtype, mode="r") if os.path.getsize(path) else np.empty(0, dtype=dtype)
+    if isinstance(store, fs.LocalFileSystem):
+        return np.memmap(path, dtype=dtype, mode="r") if os.path.getsize(path) else np.empty(0, dtype=dtype)
+    with tempfile.TemporaryFile() as own, store.open_input_stream(path) as source:
+        while chunk := source.read(1 << 20):
+            own.write(chunk)
+        return np.memmap(own, dtype=dtype, mode="r") if own.tell() else np.empty(0, dtype=dtype)
 
 
 def pack_sorted(keys: np.ndarray, counts: np.ndarray) -> tuple[bytes, bytes]:

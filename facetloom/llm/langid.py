@@ -27,15 +27,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from facetloom.llm.common import map_arrow, remainder, table, utf8
+from facetloom.llm.common import blocks, map_arrow, remainder, table, utf8
 
 FOLDS, HELD_OUT = 4, 2
 SAMPLE, PER_DOC = 500, 4
 WINDOW, LONGEST = 256, 4
 WIDTHS, FILTERS = (2, 3, 4), 16
 EPOCHS, BATCH, RATE = 8, 128, 0.01
-#: Windows that are run at once.
-RUN = 1024
+#: Windows that are run at once, and bytes from which a text is not taken apart into words.
+RUN, LONG = 1024, 1 << 20
 
 _LETTERS = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 #: Gap and padding 0, a-z 1 to 26, bytes of non-ASCII characters from 27.
@@ -45,7 +45,8 @@ _LETTER = re.compile(rb"[A-Za-z]")
 
 
 def letters_of(text: bytes) -> bytes:
-    return b" ".join(text.translate(_LETTERS).split())
+    letters = text.translate(_LETTERS)
+    return b" ".join(letters.split()) if len(letters) < LONG else re.sub(rb" {2,}", b" ", letters).strip()
 
 
 def has_letter(text: bytes | None) -> bool:
@@ -98,11 +99,24 @@ class Network:
         e = np.exp(logits - logits.max(axis=1, keepdims=True))
         return e / e.sum(axis=1, keepdims=True)
 
+    def gradients(self, x: np.ndarray, y: np.ndarray) -> list[np.ndarray]:
+        """Of the mean cross-entropy over windows ``x`` of languages ``y``: by the filters, the softmax weights and their bias."""
+        n = self.filters.shape[2]
+        best, at = self.pool(x, self.tables(), where=True)
+        p = self.probabilities(best)
+        p[np.arange(len(x)), y] -= 1
+        p /= len(x)
+        back = (p @ self.out.T) * (best > 0)
+        grad = np.empty_like(self.filters)
+        for k in range(LONGEST):
+            cls = np.take_along_axis(x, at + k, axis=1)
+            grad[k] = np.bincount((cls * n + np.arange(n)).ravel(), weights=back.ravel(), minlength=CLASSES * n).reshape(CLASSES, n)
+        return [grad * self.mask, np.maximum(best, 0).T @ p, p.sum(axis=0)]
+
     def train(self, x: np.ndarray, y: np.ndarray, seed: int = 11) -> None:
         rng = np.random.default_rng(seed)
         params = [self.filters, self.out, self.bias]
         first, second, step = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params], 0
-        n = self.filters.shape[2]
         for _ in range(EPOCHS):
             order = rng.permutation(len(x))
             for begin in range(0, len(order), BATCH):
@@ -111,18 +125,8 @@ class Network:
                 short = rng.random(len(rows)) < 0.3  # short texts are padded windows
                 lengths = np.where(short, rng.integers(4, WINDOW, len(rows)), WINDOW)
                 batch[np.arange(WINDOW)[None] >= lengths[:, None]] = 0
-                best, at = self.pool(batch, self.tables(), where=True)
-                p = self.probabilities(best)
-                p[np.arange(len(rows)), y[rows]] -= 1
-                p /= len(rows)
-                hidden = np.maximum(best, 0)
-                back = (p @ self.out.T) * (best > 0)
-                grad = np.empty_like(self.filters)
-                for k in range(LONGEST):
-                    cls = np.take_along_axis(batch, at + k, axis=1)
-                    grad[k] = np.bincount((cls * n + np.arange(n)).ravel(), weights=back.ravel(), minlength=CLASSES * n).reshape(CLASSES, n)
-                grads, step = [grad * self.mask, hidden.T @ p, p.sum(axis=0)], step + 1
-                for q, g, m, v in zip(params, grads, first, second, strict=True):
+                step += 1
+                for q, g, m, v in zip(params, self.gradients(batch, y[rows]), first, second, strict=True):
                     m += 0.1 * (g - m)
                     v += 0.001 * (g * g - v)
                     q -= RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
@@ -130,11 +134,12 @@ class Network:
     def predict(self, texts: list[bytes], tables) -> np.ndarray:
         """Probabilities of each text's languages; texts are given as their letters."""
         total = np.zeros((len(texts), len(self.labels)))
-        x, of = windows_of(texts)
-        for a in range(0, len(x), RUN):
-            part = x[a : a + RUN]
-            weight = (part != 0).sum(axis=1) + 1e-9
-            np.add.at(total, of[a : a + RUN], self.probabilities(self.pool(part, tables)[0]) * weight[:, None])
+        most = RUN * WINDOW
+        for a, b in blocks([max(len(t), WINDOW) for t in texts], most):
+            for at in range(0, max(1, len(texts[a]) if b == a + 1 else 1), most):  # a longer text in parts
+                part, of = windows_of([texts[a][at : at + most]] if b == a + 1 else texts[a:b])
+                weight = (part != 0).sum(axis=1) + 1e-9
+                np.add.at(total, of + a, self.probabilities(self.pool(part, tables)[0]) * weight[:, None])
         return total / total.sum(axis=1, keepdims=True)
 
 

@@ -180,6 +180,8 @@ def train(docs: DataFrame) -> Model:
         base.append((types, tokens))
         if b in rows:
             types, tokens, begins = types + rows[b].types, tokens + rows[b].tokens, begins + rows[b].begins
+    if types >= 1 << 32:
+        raise OverflowError("a pair is stored as two numbers of 32 bits: there are too many distinct words")
     model = Model(path, base, tokens - begins, types - (begins > 0), begins)
     edges = np.asarray([first for first, _ in base] + [types])
     share, buckets = model.share, model.buckets
@@ -208,21 +210,21 @@ def train(docs: DataFrame) -> Model:
         write_array(f"{path}/pair-{bucket}", keys.astype("<u8"))
         write_array(f"{path}/seen-{bucket}", np.minimum(counts, 0xFFFFFFFF).astype("<u4"))
         firsts, seconds = keys >> np.uint64(32), keys & np.uint64(0xFFFFFFFF)
-        out: dict[str, list] = {"bucket": [], "kind": [], "keys": [], "counts": []}
+        out: dict[str, list] = {"bucket": [], "kind": [], "keys": [], "counts": [], "n": []}
         for kind, ids in enumerate((seconds, *(firsts[np.minimum(counts, 3) == c] for c in (1, 2, 3)))):
             ids, n = np.unique(ids, return_counts=True)
             cut = np.searchsorted(ids.astype(np.int64), edges)
             for b in np.flatnonzero(np.diff(cut)).tolist():
                 k, c = pack_sorted(ids[cut[b] : cut[b + 1]], n[cut[b] : cut[b + 1]])
-                for name, v in zip(out, (b, kind, k, c), strict=True):
+                for name, v in zip(out, (b, kind, k, c, 0), strict=True):
                     out[name].append(v)
         for c in (1, 2, 3, 4):
-            k, c = pack_sorted(np.asarray([c], dtype=np.uint64), np.asarray([(counts == c).sum()]))
-            for name, v in zip(out, (-1, 4, k, c), strict=True):
+            for name, v in zip(out, (-c, 4, b"", b"", int((counts == c).sum())), strict=True):
                 out[name].append(v)
-        return pa.table([pa.array(out["bucket"], pa.int32()), pa.array(out["kind"], pa.int32()), pa.array(out["keys"], pa.binary()), pa.array(out["counts"], pa.binary())], names=list(out))
+        kinds = (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.int64())
+        return pa.table([pa.array(v, t) for v, t in zip(out.values(), kinds, strict=True)], names=list(out))
 
-    seen = map_arrow(docs, count_pairs, PACKED).groupBy("bucket").applyInArrow(store_pairs, "bucket int, kind int, keys binary, counts binary")
+    seen = map_arrow(docs, count_pairs, PACKED).groupBy("bucket").applyInArrow(store_pairs, "bucket int, kind int, keys binary, counts binary, n long")
     seen = materialize(seen, "lm-seen")
 
     def store_follow(key, group):
@@ -242,9 +244,8 @@ def train(docs: DataFrame) -> Model:
         write_array(f"{path}/after-{b}", np.zeros(int(edges[b + 1] - edges[b]), dtype="<i8"))
         write_array(f"{path}/follow-{b}", np.zeros(3 * int(edges[b + 1] - edges[b]), dtype="<i8"))
     high = np.zeros(5, dtype=np.int64)
-    for r in seen.where("bucket < 0").collect():  # four rows for each bucket of pairs
-        k, c = unpack_sorted(bytes(r["keys"]), bytes(r["counts"]))
-        high[int(k[0])] += int(c[0])
+    for r in seen.where("bucket < 0").groupBy("bucket").agg(F.sum("n").alias("n")).collect():  # four rows
+        high[-r.bucket] = r.n
     low = np.sum([r.t for r in follow], axis=0) if follow else np.zeros(6, dtype=np.int64)
     model.high, model.low, model.pairs = discounts(high[1:]), discounts(low[:4]), int(low[5])
     model.low_kinds = np.array([low[0], low[1], low[4]], dtype=float)

@@ -1,23 +1,30 @@
 """Quality rules: fixed limits, and robust multivariate outliers within each language and source.
 
 Every text gives a few counts. Their transforms (``FEATURES``) form a vector, and each
-language and source has a minimum-covariance-determinant estimate of where its vectors lie:
-from medians and absolute deviations, concentration steps take the three quarters of the
-rows that are nearest to the centre and estimate mean and covariance anew. A text whose
-squared Mahalanobis distance is beyond the chi-squared quantile ``1 - TAIL`` is rejected.
-
-All rows take part in every step. A step is two aggregates over the narrow table of vectors,
-both combined before they are exchanged, so a source with a third of the rows is no single
-task's work. The estimates are one row for each group, written to the shared folder; they
-are broadcast only if that table's size is under the session's threshold.
+language and source has a minimum-covariance-determinant estimate of where its vectors lie.
+The search begins at three deterministic estimates: medians and absolute deviations, the
+covariance of the spatial signs, and the half of the rows that is nearest to the medians.
+From each, concentration steps take the ``KEEP`` share of the rows that are nearest to the
+centre and estimate mean and covariance anew, until a step lowers the determinant no more;
+each group keeps the settled estimate of the least determinant. A text whose squared
+Mahalanobis distance is beyond the chi-squared quantile ``1 - TAIL`` is rejected.
+
+All rows take part in every step, whatever their number. A step is two aggregates over the
+narrow table of vectors for all starts together, both combined before they are exchanged, so
+a source with a third of the rows is no single task's work. The estimates are one row for
+each group, written to the shared folder; they are broadcast only if that table's size is
+under the session's threshold.
 
 Groups of fewer than ``LEAST_ROWS`` rows are pooled within their language, and pools that
 are still small over all languages; a pool that is small even then rejects nothing.
 ``FLOOR`` is the standard deviation that every feature has at least, so that a group of
-uniform texts does not reject one that differs by a hair.
+uniform texts does not reject one that differs by a hair; it is part of every determinant.
 
 Defined cases: a null text has no words and fails; nulls in lang or source are values like
-others; rows that repeat are judged each; an empty table gives no rows.
+others; rows that repeat are judged each; rows whose distances tie at a step's limit are all
+taken; a distance at the quantile itself is kept; of starts with equal determinants the
+first counts; an empty table gives no rows; columns of the input that are named like the
+operator's own give way to them.
 """
 
 from __future__ import annotations
@@ -25,10 +32,11 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -37,8 +45,10 @@ from facetloom.shared import materialize
 
 LEAST_WORDS, MOST_REPEATED = 10, 20
 REPEAT = 5
-KEEP, STEPS, TAIL = 0.75, 4, 1e-9
+KEEP, TAIL = 0.75, 1e-9
 LEAST_ROWS = 50
+#: A concentration step counts if it lowers the logarithm of the determinant by this, so that every search ends.
+SETTLED = 1e-3
 #: Feature and the least standard deviation that it is given.
 FLOOR = {"word_length": 0.10, "symbols": 0.08, "dup_lines": 0.20, "repeats": 0.20, "digits": 0.15}
 FEATURES = list(FLOOR)
@@ -128,61 +138,90 @@ def chi2_quantile(q: float, k: int) -> float:
 #: What the covariance of the kept share of a normal sample is to be multiplied by.
 CONSISTENCY = KEEP / chi2_cdf(chi2_quantile(KEEP, P), P + 2)
 CUTOFF = chi2_quantile(1 - TAIL, P)
-ESTIMATE = f"gid string, centre array<double>, inverse array<double>, log_det double"
+STARTS = 3
+ESTIMATES = "gid string, centres array<array<double>>, inverses array<array<double>>, log_dets array<double>"
 
 
-def _distance() -> Column:
-    """The squared Mahalanobis distance of a row's features from its group's centre."""
-    d = [F.col(f) - F.col("centre")[i] for i, f in enumerate(FEATURES)]
-    terms = [F.col("inverse")[i * P + j] * d[i] * d[j] * (1 if i == j else 2) for i in range(P) for j in range(i, P)]
+def _distance(centre: Column, inverse: Column) -> Column:
+    """The squared Mahalanobis distance of a row's features from a centre."""
+    d = [F.col(f) - centre[i] for i, f in enumerate(FEATURES)]
+    terms = [inverse[i * P + j] * d[i] * d[j] * (1 if i == j else 2) for i in range(P) for j in range(i, P)]
     return sum(terms[1:], terms[0])
 
 
 def _invert(moments: DataFrame) -> DataFrame:
-    """Rows gid, centre, covariance (flat) as estimates; every variance is raised by the floor's square."""
+    """Rows gid, centres and covariances (flat) as estimates; every variance is raised by the floor's square."""
     floor = np.square(list(FLOOR.values()))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            centre = np.asarray(batch.column(1).to_pylist(), dtype=float).reshape(-1, P)
-            cov = np.asarray(batch.column(2).to_pylist(), dtype=float).reshape(-1, P, P) + np.diag(floor)
-            inverse = np.linalg.inv(cov).reshape(-1, P * P).tolist()
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(centre.tolist(), pa.list_(pa.float64())), pa.array(inverse, pa.list_(pa.float64())), pa.array(np.linalg.slogdet(cov)[1], pa.float64())], names=["gid", "centre", "inverse", "log_det"])
-
-    return materialize(map_arrow(moments, work, ESTIMATE), "estimates")
+            cov = np.asarray(batch.column(2).to_pylist(), dtype=float).reshape(batch.num_rows, -1, P, P) + np.diag(floor)
+            inverse = np.linalg.inv(cov).reshape(*cov.shape[:2], P * P).tolist()
+            lists = pa.list_(pa.list_(pa.float64()))
+            columns = [batch.column(0), batch.column(1).cast(lists), pa.array(inverse, lists), pa.array(np.linalg.slogdet(cov)[1].tolist(), pa.list_(pa.float64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["gid", "centres", "inverses", "log_dets"])
+
+    return materialize(map_arrow(moments, work, ESTIMATES), "estimates")
+
+
+def _moments(take: Column, around: list[Column], scale: float = 1.0) -> tuple[Column, Column]:
+    """Mean and covariance (flat) of the rows for which ``take`` holds, summed as differences from near the mean."""
+    u = [F.when(take, F.col(f) - around[i]) for i, f in enumerate(FEATURES)]
+    n = F.count(F.when(take, 1))
+    mean = [F.sum(x) / n for x in u]
+    second = {(i, j): F.sum(u[i] * u[j]) / n for i in range(P) for j in range(i, P)}
+    centre = F.array(*[F.first(around[i]) + mean[i] for i in range(P)])
+    return centre, F.array(*[(second[min(i, j), max(i, j)] - mean[i] * mean[j]) * scale for i in range(P) for j in range(P)])
+
+
+def _starts(points: DataFrame) -> DataFrame:
+    """The estimates from which the search begins."""
+    middle = materialize(points.groupBy("gid").agg(*[F.percentile_approx(f, 0.5, 1000).alias(f"m_{f}") for f in FEATURES]), "medians")
+    apart = [(F.percentile_approx(F.abs(F.col(f) - F.col(f"m_{f}")), 0.5, 1000) * 1.4826).alias(f"s_{f}") for f in FEATURES]
+    scale = points.join(middle, "gid").groupBy("gid").agg(*[F.first(f"m_{f}").alias(f"m_{f}") for f in FEATURES], *apart)
+    scale = materialize(scale, "scales")
+    z = {f: (F.col(f) - F.col(f"m_{f}")) / F.greatest(F.col(f"s_{f}"), F.lit(FLOOR[f])) for f in FEATURES}
+    scaled = points.join(scale, "gid").withColumn("norm", sum(F.pow(z[f], F.lit(2)) for f in FEATURES))
+    half = materialize(scaled.groupBy("gid").agg(F.percentile_approx("norm", 0.5, 1000).alias("half")), "halves")
+    centre = F.array(*[F.first(f"m_{f}") for f in FEATURES])
+    single = F.array(*[F.first(F.pow(f"s_{f}", F.lit(2))) if f == g else F.lit(0.0) for f in FEATURES for g in FEATURES])
+    apart = lambda f: F.col(f) - F.col(f"m_{f}")
+    sign = F.array(*[F.coalesce(F.avg(F.when(F.col("norm") > 0, apart(f) * apart(g) / F.col("norm"))) * P, F.lit(0.0)) for f in FEATURES for g in FEATURES])
+    near, spread = _moments(F.col("norm") <= F.col("half"), [F.col(f"m_{f}") for f in FEATURES])
+    found = scaled.join(half, "gid").groupBy("gid").agg(F.array(centre, centre, near).alias("centres"), F.array(single, sign, spread).alias("covs"))
+    return _invert(found)
+
+
+def concentrated(points: DataFrame, now: DataFrame) -> DataFrame:
+    """Estimates of the rows that are nearest by each of the estimates ``now``."""
+    measured = points.join(now, "gid").withColumns({f"d{k}": _distance(F.col("centres")[k], F.col("inverses")[k]) for k in range(STARTS)})
+    limit = measured.groupBy("gid").agg(*[F.percentile_approx(f"d{k}", KEEP, 1000).alias(f"limit{k}") for k in range(STARTS)])
+    near = measured.join(materialize(limit, "limits"), "gid")
+    found = [_moments(F.col(f"d{k}") <= F.col(f"limit{k}"), [F.col("centres")[k][i] for i in range(P)], CONSISTENCY) for k in range(STARTS)]
+    return _invert(near.groupBy("gid").agg(F.array(*[c for c, _ in found]).alias("centres"), F.array(*[s for _, s in found]).alias("covs")))
 
 
 def fit(points: DataFrame) -> DataFrame:
-    """An estimate for each ``gid`` of ``points``, which has the columns gid and ``FEATURES``."""
-    middle = points.groupBy("gid").agg(*[F.percentile_approx(f, 0.5, 1000).alias(f"m_{f}") for f in FEATURES])
-    middle = materialize(middle, "medians")
-    spread = points.join(middle, "gid").groupBy("gid").agg(
-        F.array(*[F.first(f"m_{f}") for f in FEATURES]).alias("centre"),
-        F.array(*[F.pow(1.4826 * F.percentile_approx(F.abs(F.col(f) - F.col(f"m_{f}")), 0.5, 1000), F.lit(2)) if i == j else F.lit(0.0) for i, f in enumerate(FEATURES) for j in range(P)]).alias("cov"),
-    )
-    now = _invert(spread)
-    for _ in range(STEPS):
-        measured = points.join(now, "gid").withColumn("d2", _distance())
-        near = materialize(measured.groupBy("gid").agg(F.percentile_approx("d2", KEEP, 1000).alias("limit")), "limits")
-        kept = measured.join(near, "gid").where("d2 <= limit")
-        moments = kept.groupBy("gid").agg(
-            F.array(*[F.avg(f) for f in FEATURES]).alias("centre"),
-            F.array(*[F.covar_pop(a, b) * CONSISTENCY for a in FEATURES for b in FEATURES]).alias("cov"),
-        )
-        before, now = now, _invert(moments)
-        moved = now.join(before.select("gid", F.col("log_det").alias("last")), "gid").agg(F.max(F.abs(F.col("log_det") - F.col("last")))).first()[0]
-        if moved is None or moved < 1e-3:
+    """The estimate (centre, inverse of the covariance, log_det) for each ``gid`` of ``points``, which has the columns gid and ``FEATURES``."""
+    now = concentrated(points, _starts(points)).withColumn("moved", F.lit(True))
+    while True:
+        new = concentrated(points, now).select("gid", *[F.col(c).alias(f"new_{c}") for c in ("centres", "inverses", "log_dets")])
+        lower = [F.col("new_log_dets")[k] < F.col("log_dets")[k] - SETTLED for k in range(STARTS)]
+        better = {c: F.array(*[F.when(low, F.col(f"new_{c}")[k]).otherwise(F.col(c)[k]) for k, low in enumerate(lower)]) for c in ("centres", "inverses", "log_dets")}
+        moved = reduce(lambda a, b: a | b, lower)
+        now = materialize(now.join(new, "gid").select("gid", *[x.alias(c) for c, x in better.items()], moved.alias("moved")), "estimates")
+        if not now.where("moved").limit(1).count():
             break
-    return now
+    at = F.array_position("log_dets", F.array_min("log_dets")).cast("int")
+    return now.select("gid", *[F.element_at(f"{c}s", at).alias(c) for c in ("centre", "inverse", "log_det")])
 
 
 def _groups(rows: DataFrame) -> DataFrame:
     """The group (null: none) of every language and source; small ones are pooled."""
-    sizes = rows.groupBy("__lang", "__source").count().withColumn("own", F.col("count") >= LEAST_ROWS)
-    small = F.when(~F.col("own"), F.col("count")).otherwise(0)
-    pooled = F.sum(small).over(Window.partitionBy("__lang"))
-    named = sizes.withColumn("in_lang", ~F.col("own") & (pooled >= LEAST_ROWS)).withColumn("level", F.when(F.col("own"), 2).when(F.col("in_lang"), 1).otherwise(0))
-    named = materialize(named, "groups")
+    sizes = materialize(rows.groupBy("__lang", "__source").count().withColumn("own", F.col("count") >= LEAST_ROWS), "sizes")
+    pools = sizes.groupBy("__lang").agg(F.coalesce(F.sum(F.when(~F.col("own"), F.col("count"))), F.lit(0)).alias("pooled"))
+    level = F.when(F.col("own"), 2).when(F.col("pooled") >= LEAST_ROWS, 1).otherwise(0)
+    named = materialize(sizes.join(pools, "__lang").withColumn("level", level), "groups")
     rest = named.where("level = 0").agg(F.sum("count")).first()[0] or 0
     gid = F.when(F.col("level") == 2, F.concat_ws("\x1f", F.lit("2"), "__lang", "__source")).when(F.col("level") == 1, F.concat_ws("\x1f", F.lit("1"), "__lang")).when(F.lit(rest >= LEAST_ROWS), F.lit("0"))
     return named.select("__lang", "__source", gid.alias("gid"))
@@ -191,16 +230,17 @@ def _groups(rows: DataFrame) -> DataFrame:
 def judge(docs: DataFrame, keep: list[str]) -> DataFrame:
     """The columns ``keep`` of ``docs`` (which has text, lang and source) with the columns
     ``COUNTS`` (named with two underscores), base_failed, distance (null: not measured) and kept."""
+    own = [*[f"__{c}" for c in COUNTS], "base_failed", "distance", "kept"]
+    given = F.struct(*[F.col(c) for c in keep if c not in own]).alias("__given")
     named = [F.coalesce(F.concat(F.lit("v"), F.col(c).cast("string")), F.lit("n")).alias(f"__{c}") for c in ("lang", "source")]
-    columns = list(dict.fromkeys([*keep, "text"]))
-    rows = counted(docs.select(*columns, *named)).select(*keep, "__lang", "__source", *[f"__{c}" for c in COUNTS])
+    rows = counted(docs.select(given, "text", *named)).drop("text")
     rows = materialize(rows, "counts")
     groups = materialize(_groups(rows), "groups")
     points = materialize(rows.select("__lang", "__source", *features()).join(groups, ["__lang", "__source"]).where("gid is not null").select("gid", *FEATURES), "points")
     estimates = materialize(groups.join(fit(points), "gid").select("__lang", "__source", "centre", "inverse"), "estimates")
     failed = (F.col("__n_words") < LEAST_WORDS) | (100 * F.col("__n_repeat_words") > MOST_REPEATED * F.col("__n_words"))
     measured = rows.select("*", *features()).join(estimates, ["__lang", "__source"], "left")
-    measured = measured.select(*keep, *[f"__{c}" for c in COUNTS], failed.alias("base_failed"), _distance().alias("distance"))
+    measured = measured.select("__given.*", *[f"__{c}" for c in COUNTS], failed.alias("base_failed"), _distance(F.col("centre"), F.col("inverse")).alias("distance"))
     return measured.withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("distance") <= CUTOFF, F.lit(True)))
 
 

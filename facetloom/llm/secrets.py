@@ -6,8 +6,8 @@ texts each): trigram -> the texts that have it, ASCII letters folded. A rule's q
 intersects and unites postings, and its pattern is run over the texts that remain. A rule
 whose pattern has no mandatory trigram is run over all texts.
 
-Segments are made and searched where the texts are, without a shuffle; a segment posts the
-trigrams that some rule's query names, over whole texts.
+Segments are made and searched where the texts are, without a shuffle; a segment of
+``SEGMENT`` bytes posts the trigrams that some rule's query names, over whole texts.
 
 Defined cases: a null text is empty; an empty text has no spans; rows that repeat get a row
 each; an empty table gives no rows.
@@ -31,6 +31,8 @@ from facetloom.llm.spans import digests
 
 #: Literal strings that a part of a pattern may stand for before its trigrams are taken.
 STRINGS = 64
+#: Bytes of texts in a segment; a longer text is one of its own.
+SEGMENT = 1 << 20
 
 
 @dataclass(frozen=True)
@@ -148,24 +150,31 @@ def trigrams_of(query: Query) -> set[bytes]:
     return set().union(*map(trigrams_of, query[1])) if isinstance(query, tuple) else set()
 
 
+def _short(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """Trigrams as 16 bits, with which most places are ruled out."""
+    return (a.astype(np.uint16) << np.uint16(8)) + b.astype(np.uint16) * np.uint16(37) + c
+
+
 class Segment:
-    """Postings of a block of texts for the given trigrams."""
+    """Postings of a block of texts for the given trigrams, which are in order."""
 
-    def __init__(self, texts: list[bytes], trigrams: list[bytes], slots: np.ndarray) -> None:
+    def __init__(self, texts: list[bytes], trigrams: list[bytes], codes: np.ndarray, short: np.ndarray) -> None:
         self.n = len(texts)
-        data = np.frombuffer(b"\x00\x00".join(texts).lower(), dtype=np.uint8)
         starts = np.cumsum([0, *[len(t) + 2 for t in texts[:-1]]])
         self.postings = {t: np.empty(0, dtype=np.int64) for t in trigrams}
-        if len(data) < 3:
+        joined = np.frombuffer(b"\x00\x00".join(texts).lower(), dtype=np.uint8)
+        pairs = []
+        for a in range(0, len(joined) - 2, SEGMENT):  # a long text in parts
+            data = joined[a : a + SEGMENT + 2]
+            at = np.flatnonzero(short[_short(data[:-2], data[1:-1], data[2:])])
+            code = data[at].astype(np.int64) << 16 | data[at + 1].astype(np.int64) << 8 | data[at + 2]
+            which = np.minimum(np.searchsorted(codes, code), len(codes) - 1)
+            found = codes[which] == code
+            pairs.append(np.unique(which[found] * self.n + np.searchsorted(starts, a + at[found], side="right") - 1))
+        if not pairs:
             return
-        codes = data[:-2].astype(np.uint32)
-        for more in (data[1:-1], data[2:]):
-            codes <<= np.uint32(8)
-            codes |= more
-        found = slots[codes]
-        at = np.flatnonzero(found)
-        pairs = np.unique(found[at].astype(np.int64) * self.n + np.searchsorted(starts, at, side="right") - 1)
-        which, text = pairs // self.n - 1, pairs % self.n
+        pairs = np.unique(np.concatenate(pairs))
+        which, text = pairs // self.n, pairs % self.n
         edges = np.searchsorted(which, np.arange(len(trigrams) + 1))
         for k, t in enumerate(trigrams):
             self.postings[t] = text[edges[k] : edges[k + 1]]
@@ -185,13 +194,14 @@ class Index:
     def __init__(self, rules: list[Rule]) -> None:
         self.rules = [(i, r, re.compile(r.pattern), trigram_query(r.pattern)) for i, r in enumerate(rules)]
         self.trigrams = sorted(set().union(*(trigrams_of(q) for *_, q in self.rules)))
-        self.slots = np.zeros(1 << 24, dtype=np.uint16)
-        for k, t in enumerate(self.trigrams):
-            self.slots[int.from_bytes(t, "big")] = k + 1
+        letters = np.asarray([list(t) for t in self.trigrams], dtype=np.uint8).reshape(-1, 3)
+        self.codes = letters.astype(np.int64) @ np.asarray([1 << 16, 1 << 8, 1])
+        self.short = np.zeros(1 << 16, dtype=bool)
+        self.short[_short(*letters.T)] = True
 
     def scan(self, texts: list[bytes]) -> list[list[tuple[int, int, int]]]:
         """(start, rank, end) in bytes of every text's spans."""
-        segment = Segment(texts, self.trigrams, self.slots)
+        segment = Segment(texts, self.trigrams, self.codes, self.short)
         out: list[list[tuple[int, int, int]]] = [[] for _ in texts]
         for rank, rule, regex, query in self.rules:
             for i in segment.search(query).tolist():
@@ -218,7 +228,9 @@ def masked(text: bytes, spans: list[tuple[int, int, int]]) -> bytes:
 
 def scan(docs: DataFrame, rules: list[Rule] = RULES, mask: bool = False) -> DataFrame:
     """``docs`` (with a column text) and ``secrets``: an array of start, rank (place in
-    ``rules``) and end in code points, exclusive. ``mask`` replaces them in text."""
+    ``rules``) and end in code points, exclusive. ``mask`` replaces them in text. A column
+    of ``docs`` that is named ``secrets`` gives way."""
+    docs = docs.drop("secrets")
     schema = T.StructType([*docs.schema.fields, T.StructField("secrets", _SPANS)])
     text_at = docs.columns.index("text")
 
@@ -228,7 +240,7 @@ def scan(docs: DataFrame, rules: list[Rule] = RULES, mask: bool = False) -> Data
             given = utf8(batch.column(text_at))
             texts = [t or b"" for t in given]
             found: list = []
-            for a, b in blocks([len(t) for t in texts]):
+            for a, b in blocks([len(t) for t in texts], SEGMENT):
                 found += index.scan(texts[a:b])
             out = []
             for i, spans in enumerate(found):

@@ -60,6 +60,71 @@ def test_estimate_resists_outliers(spark):
     assert ratio.min() > 0.8 and ratio.max() < 1.5  # the kept share is more than its nominal share of the clean rows
 
 
+def plain_mcd(x):
+    """The least determinant over concentration from many starts, exact limits."""
+    floor, best = np.diag(np.square(list(quality.FLOOR.values()))), None
+    for seed in range(60):
+        rows = np.random.default_rng(seed).choice(len(x), 12, replace=False)
+        last = np.inf
+        while True:
+            centre, cov = x[rows].mean(axis=0), np.cov(x[rows].T, bias=True) * quality.CONSISTENCY + floor
+            det = np.linalg.slogdet(cov)[1]
+            if det > last - 1e-9 and len(rows) > 12:
+                break
+            last = det if len(rows) > 12 else np.inf
+            d = np.einsum("ij,jk,ik->i", x - centre, np.linalg.inv(cov), x - centre)
+            rows = np.flatnonzero(d <= np.sort(d)[math.ceil(quality.KEEP * len(x)) - 1])
+        if best is None or last < best[0]:
+            best = last, centre, cov
+    return best
+
+
+def test_least_determinant(spark):
+    """Groups with a second cluster, with correlated and with constant features."""
+    rng, groups = np.random.default_rng(6), {}
+    for g, share in (("a", 0.0), ("b", 0.1), ("c", 0.2)):
+        x = rng.normal(0, 1, (400, 5)) @ rng.normal(0, 1, (5, 5))
+        x[: int(share * 400)] = rng.normal(12, 0.3, (int(share * 400), 5))
+        groups[g] = x
+    groups["d"] = np.concatenate((groups["b"][:, :3], np.zeros((400, 2))), axis=1)
+    df = spark.createDataFrame([(g, *map(float, r)) for g, x in groups.items() for r in x], ["gid", *quality.FEATURES])
+    got = {r.gid: r for r in quality.fit(df).collect()}
+    for g, x in groups.items():
+        det, centre, cov = plain_mcd(x)
+        assert got[g].log_det == pytest.approx(det, abs=0.05)
+        d = [np.einsum("ij,jk,ik->i", x - c, i, x - c) for c, i in ((centre, np.linalg.inv(cov)), (np.asarray(got[g].centre), np.asarray(got[g].inverse).reshape(5, 5)))]
+        assert np.array_equal(d[0] > 60, d[1] > 60) and (d[1] > 60).sum() == {"a": 0, "b": 40, "c": 80, "d": 40}[g]
+
+
+def test_verdict(spark):
+    """``kept`` against the estimates of a plain search, in small groups."""
+    rng = np.random.default_rng(3)
+    rows = []
+    for i in range(300):
+        n, junk = int(rng.integers(30, 90)), i % 11 == 0
+        words = ["".join(rng.choice(list("abcdefgh"), int(rng.integers(2, 9)))) + ("$$$" if junk else "") for _ in range(n)]
+        rows.append((i, " ".join(words), "ab"[i % 2], "s"))
+    judged = quality.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"), ["doc_id"])
+    got = {r.doc_id: r for r in judged.collect()}
+    for lang in "ab":
+        ids = [r[0] for r in rows if r[2] == lang]
+        x = []
+        for i in ids:
+            w, chars, symbols, dup, repeats, lines, digits = quality.count(rows[i][1].encode())
+            x.append([math.log(chars / w), math.sqrt(symbols / w), math.sqrt(dup / lines), math.sqrt(repeats / w), math.sqrt(digits / chars)])
+        x = np.asarray(x)
+        _, centre, cov = plain_mcd(x)
+        d = np.einsum("ij,jk,ik->i", x - centre, np.linalg.inv(cov), x - centre)
+        assert [got[i].kept for i in ids] == (d <= quality.CUTOFF).tolist() and 0 < (d > quality.CUTOFF).sum() < 20
+
+
+def test_clashing_columns(spark):
+    text = " ".join(f"w{i}" for i in range(40))
+    df = spark.createDataFrame([(i, text, "en", "s", "x", "y", "z") for i in range(60)], "doc_id long, text string, lang string, source string, digits string, centre string, kept string")
+    rows = quality.judge(df, df.columns).collect()
+    assert len(rows) == 60 and all((r.digits, r.centre, r.text, r.kept) == ("x", "y", text, True) for r in rows)
+
+
 def test_chi_squared():
     assert quality.chi2_cdf(2.0, 2) == pytest.approx(1 - math.exp(-1))
     assert quality.chi2_quantile(0.95, 5) == pytest.approx(11.0705, abs=1e-3)
@@ -96,16 +161,63 @@ def test_nothing_to_learn_from(spark):
     assert [tuple(r) for r in langid.identify(docs, langid.fit(docs), ["doc_id"]).collect()] == [(1, "und", 0.0)]
 
 
+def exact_network(labels):
+    net = langid.Network(labels)
+    for name in ("mask", "filters", "out", "bias"):
+        setattr(net, name, getattr(net, name).astype(np.float64))
+    return net
+
+
 def test_gradient():
-    """The training step's filters against differences of the loss."""
-    net = langid.Network(["a", "b"])
-    x, _ = langid.windows_of([b"the quick brown fox", b"der schnelle fuchs"])
-    best, at = net.pool(x, net.tables(), where=True)
-    slow = np.stack([[max(sum(net.filters[k, row[t + k], f] for k in range(4)) for t in range(langid.WINDOW - 3)) for f in range(best.shape[1])] for row in x])
-    assert np.allclose(best, slow, atol=1e-5)
-    for b in range(2):
-        for f in range(0, best.shape[1], 7):
-            assert sum(net.filters[k, x[b, at[b, f] + k], f] for k in range(4)) == pytest.approx(best[b, f], abs=1e-5)
+    """Every kind of parameter against differences of the loss."""
+    net = exact_network(["a", "b", "c"])
+    x, _ = langid.windows_of([b"the quick brown fox", b"der schnelle fuchs", b"el zorro"])
+    y = np.asarray([0, 1, 2])
+    loss = lambda: -np.log(net.probabilities(net.pool(x, net.tables())[0])[np.arange(3), y]).mean()
+    rng, seen = np.random.default_rng(1), 0
+    for param, grad in zip((net.filters, net.out, net.bias), net.gradients(x, y)):
+        busy = np.argwhere(grad != 0)
+        for at in map(tuple, rng.permutation(busy)[:40]):
+            held = param[at]
+            param[at] = held + 1e-6
+            up = loss()
+            param[at] = held - 1e-6
+            down = loss()
+            param[at] = held
+            seen += 1
+            assert (up - down) / 2e-6 == pytest.approx(grad[at], rel=1e-3, abs=1e-7)
+    assert seen > 80
+
+
+def plain_prediction(net, text):
+    """Probabilities by sliding every filter over every window, byte by byte."""
+    letters = langid.letters_of(text)
+    total = np.zeros(len(net.labels))
+    for begin in range(0, max(1, len(letters)), langid.WINDOW):
+        w = [langid._CLASS[b] for b in letters[begin : begin + langid.WINDOW].ljust(langid.WINDOW)]
+        best = np.max([sum(net.filters[k, w[t + k]] for k in range(langid.LONGEST)) for t in range(langid.WINDOW - langid.LONGEST + 1)], axis=0)
+        e = np.exp(np.maximum(best, 0) @ net.out + net.bias)
+        total += e / e.sum() * (sum(c != 0 for c in w) + 1e-9)
+    return total / total.sum()
+
+
+def test_predictions(spark, documents, monkeypatch):
+    """Against the plain form, whole texts, also those that are run in parts; ties go to the first language."""
+    net = exact_network(["a", "b", "c"])
+    rows = [(i, t) for i, (_, t, *_) in enumerate(documents) if t is None or len(t) < 3000][-70:] + [(1000, "word " * 700), (1001, "漢字" * 300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    monkeypatch.setattr(langid, "RUN", 3)
+    monkeypatch.setattr(langid, "LONG", 200)
+    got = {r.doc_id: (r.lang_pred, r.score) for r in langid.identify(df, net, ["doc_id"]).collect()}
+    for i, t in rows:
+        text = (t or "").encode()
+        if not any(c.isalpha() for c in t or ""):
+            assert got[i] == ("und", 0.0)
+            continue
+        p = plain_prediction(net, text)
+        assert got[i][1] == pytest.approx(p.max(), abs=1e-9) and got[i][0] == net.labels[int(p.argmax())]
+    net.out[:] = net.bias[:] = 0
+    assert {r.lang_pred for r in langid.identify(df, net, ["doc_id"]).collect()} == {"a", "und"}
 
 
 @pytest.mark.parametrize("query", [op3_byte_cnn_language, op5_mcd_quality])
