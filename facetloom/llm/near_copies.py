@@ -11,9 +11,9 @@ each length l, a cumulative difference of l * TAU / M at most, or the pair is dr
 the whole distance is taken. Every link is then decided on the whole sets.
 
 At similarity 0.8 a class's votes are the same in both texts with a probability of
-0.8^VOTES, so a pair meets nowhere with 1 - 0.8^4 to the power of M: 3 in a million. Its
-distance is 93 bits on average with a deviation of 18, where TAU is 192 and unrelated texts
-are beyond 300; closer pairs are lost less often still.
+0.8^VOTES, so a pair meets nowhere with 1 - 0.8^4 to the power of M: 3 in 100,000. Its
+distance is 78 bits on average with a deviation of 16, where TAU is 160 and unrelated texts
+are beyond 250; closer pairs are lost less often still.
 
 Equal sets count once. Sets that share a key with another are written to the shared folder,
 once each, and read where candidates meet; ``CACHE`` bytes of sets are held at most. Rows
@@ -47,7 +47,7 @@ from facetloom.shared import materialize, new_path
 
 SHINGLE, LEAST, SEED = 5, 0.8, 42
 #: Segments of the ring, hashes that vote on each, bits of each, and the distance within which texts may link.
-M, VOTES, WIDTH, TAU = 24, 4, 32, 192
+M, VOTES, WIDTH, TAU = 20, 4, 32, 160
 LONGS = M * WIDTH // 64
 HEAVY = 2048
 #: Rows that a worker compares at once, bytes of sets and open files that it holds.

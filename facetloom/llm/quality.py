@@ -32,7 +32,6 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -138,8 +137,7 @@ def chi2_quantile(q: float, k: int) -> float:
 #: What the covariance of the kept share of a normal sample is to be multiplied by.
 CONSISTENCY = KEEP / chi2_cdf(chi2_quantile(KEEP, P), P + 2)
 CUTOFF = chi2_quantile(1 - TAIL, P)
-STARTS = 3
-ESTIMATES = "gid string, centres array<array<double>>, inverses array<array<double>>, log_dets array<double>"
+ESTIMATES = "gid string, k int, centre array<double>, inverse array<double>, log_det double"
 
 
 def _distance(centre: Column, inverse: Column) -> Column:
@@ -150,16 +148,15 @@ def _distance(centre: Column, inverse: Column) -> Column:
 
 
 def _invert(moments: DataFrame) -> DataFrame:
-    """Rows gid, centres and covariances (flat) as estimates; every variance is raised by the floor's square."""
+    """Rows gid, k (number of the start), centre and covariance (flat) as estimates; every variance is raised by the floor's square."""
     floor = np.square(list(FLOOR.values()))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cov = np.asarray(batch.column(2).to_pylist(), dtype=float).reshape(batch.num_rows, -1, P, P) + np.diag(floor)
-            inverse = np.linalg.inv(cov).reshape(*cov.shape[:2], P * P).tolist()
-            lists = pa.list_(pa.list_(pa.float64()))
-            columns = [batch.column(0), batch.column(1).cast(lists), pa.array(inverse, lists), pa.array(np.linalg.slogdet(cov)[1].tolist(), pa.list_(pa.float64()))]
-            yield pa.RecordBatch.from_arrays(columns, names=["gid", "centres", "inverses", "log_dets"])
+            cov = np.asarray(batch.column(3).to_pylist(), dtype=float).reshape(-1, P, P) + np.diag(floor)
+            inverse = np.linalg.inv(cov).reshape(-1, P * P).tolist()
+            columns = [*batch.columns[:3], pa.array(inverse, pa.list_(pa.float64())), pa.array(np.linalg.slogdet(cov)[1], pa.float64())]
+            yield pa.RecordBatch.from_arrays(columns, names=["gid", "k", "centre", "inverse", "log_det"])
 
     return materialize(map_arrow(moments, work, ESTIMATES), "estimates")
 
@@ -188,32 +185,30 @@ def _starts(points: DataFrame) -> DataFrame:
     apart = lambda f: F.col(f) - F.col(f"m_{f}")
     sign = F.array(*[F.coalesce(F.avg(F.when(F.col("norm") > 0, apart(f) * apart(g) / F.col("norm"))) * P, F.lit(0.0)) for f in FEATURES for g in FEATURES])
     near, spread = _moments(F.col("norm") <= F.col("half"), [F.col(f"m_{f}") for f in FEATURES])
-    found = scaled.join(half, "gid").groupBy("gid").agg(F.array(centre, centre, near).alias("centres"), F.array(single, sign, spread).alias("covs"))
-    return _invert(found)
+    found = scaled.join(half, "gid").groupBy("gid").agg(F.array(*[F.struct(c.alias("centre"), v.alias("cov")) for c, v in ((centre, single), (centre, sign), (near, spread))]).alias("e"))
+    return _invert(found.select("gid", F.posexplode("e").alias("k", "e")).select("gid", "k", "e.*"))
 
 
 def concentrated(points: DataFrame, now: DataFrame) -> DataFrame:
-    """Estimates of the rows that are nearest by each of the estimates ``now``."""
-    measured = points.join(now, "gid").withColumns({f"d{k}": _distance(F.col("centres")[k], F.col("inverses")[k]) for k in range(STARTS)})
-    limit = measured.groupBy("gid").agg(*[F.percentile_approx(f"d{k}", KEEP, 1000).alias(f"limit{k}") for k in range(STARTS)])
-    near = measured.join(materialize(limit, "limits"), "gid")
-    found = [_moments(F.col(f"d{k}") <= F.col(f"limit{k}"), [F.col("centres")[k][i] for i in range(P)], CONSISTENCY) for k in range(STARTS)]
-    return _invert(near.groupBy("gid").agg(F.array(*[c for c, _ in found]).alias("centres"), F.array(*[s for _, s in found]).alias("covs")))
+    """An estimate from the rows that are nearest by each of the estimates ``now``."""
+    measured = points.join(now, "gid").withColumn("d2", _distance(F.col("centre"), F.col("inverse")))
+    limit = materialize(measured.groupBy("gid", "k").agg(F.percentile_approx("d2", KEEP, 1000).alias("limit")), "limits")
+    centre, cov = _moments(F.col("d2") <= F.col("limit"), [F.col("centre")[i] for i in range(P)], CONSISTENCY)
+    return _invert(measured.join(limit, ["gid", "k"]).groupBy("gid", "k").agg(centre.alias("new"), cov.alias("cov")))
 
 
 def fit(points: DataFrame) -> DataFrame:
     """The estimate (centre, inverse of the covariance, log_det) for each ``gid`` of ``points``, which has the columns gid and ``FEATURES``."""
     now = concentrated(points, _starts(points)).withColumn("moved", F.lit(True))
     while True:
-        new = concentrated(points, now).select("gid", *[F.col(c).alias(f"new_{c}") for c in ("centres", "inverses", "log_dets")])
-        lower = [F.col("new_log_dets")[k] < F.col("log_dets")[k] - SETTLED for k in range(STARTS)]
-        better = {c: F.array(*[F.when(low, F.col(f"new_{c}")[k]).otherwise(F.col(c)[k]) for k, low in enumerate(lower)]) for c in ("centres", "inverses", "log_dets")}
-        moved = reduce(lambda a, b: a | b, lower)
-        now = materialize(now.join(new, "gid").select("gid", *[x.alias(c) for c, x in better.items()], moved.alias("moved")), "estimates")
-        if not now.where("moved").limit(1).count():
+        new = concentrated(points, now.where("moved").drop("moved")).select("gid", "k", F.struct("centre", "inverse", "log_det").alias("new"))
+        moved = F.coalesce(F.col("new.log_det") < F.col("log_det") - SETTLED, F.lit(False))
+        best = F.when(moved, F.col("new")).otherwise(F.struct("centre", "inverse", "log_det"))
+        now = materialize(now.join(new, ["gid", "k"], "left").select("gid", "k", best.alias("best"), moved.alias("moved")).select("gid", "k", "best.*", "moved"), "estimates")
+        if now.where("moved").isEmpty():
             break
-    at = F.array_position("log_dets", F.array_min("log_dets")).cast("int")
-    return now.select("gid", *[F.element_at(f"{c}s", at).alias(c) for c in ("centre", "inverse", "log_det")])
+    least = F.min_by(F.struct("centre", "inverse", "log_det"), F.struct("log_det", "k"))
+    return now.groupBy("gid").agg(least.alias("best")).select("gid", "best.*")
 
 
 def _groups(rows: DataFrame) -> DataFrame:
