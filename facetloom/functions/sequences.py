@@ -22,15 +22,15 @@ def _starts(t: Column, n: Column | int) -> Column:
     return F.when(F.size(t) >= n, F.sequence(F.lit(1), F.size(t) - n + 1)).otherwise(F.array().cast("array<int>"))
 
 
-def ngrams(tokens: Column | str, n: int, keep: Callable[[list[Column]], Column] | None = None) -> Column:
-    """Runs of ``n`` neighbouring tokens, joined by a space, in order; ``keep`` filters them by their tokens."""
+def ngrams(tokens: Column | str, n: int, keep: Callable[[list[Column]], Column] | None = None, word: Callable[[Column], Column] = lambda t: t) -> Column:
+    """Runs of ``n`` neighbouring tokens, joined by a space, in order; ``keep`` filters them by their tokens, ``word`` is a token's text."""
 
     def of(t: Column) -> Column:
         parts = lambda i: [F.element_at(t, i + k) for k in range(n)]
         starts = _starts(t, n)
         if keep is not None:
             starts = F.filter(starts, lambda i: keep(parts(i)))
-        return F.transform(starts, lambda i: F.concat_ws(" ", *parts(i)))
+        return F.transform(starts, lambda i: F.concat_ws(" ", *map(word, parts(i))))
 
     return let(_col(tokens), of)
 
@@ -70,30 +70,41 @@ def dice(a: Column | str, b: Column | str) -> Column:
     return 2 * F.size(F.array_intersect(x, y)) / (F.size(F.array_distinct(x)) + F.size(F.array_distinct(y)))
 
 
-def highlight(tokens: Column | str, text: Column | str, spans: list[tuple[list[str], str, str]]) -> Column:
-    """The text with tags around every occurrence of each n-gram; longer n-grams are outermost."""
-    ordered = sorted(spans, key=lambda x: -len(x[0]))
+def spans_of(grams: Column, start: str, end: str) -> Column:
+    """n-grams (arrays of tokens) with the tags that ``highlight`` is to put around them."""
+    return F.transform(grams, lambda g: F.struct(g.alias("gram"), F.lit(start).alias("start"), F.lit(end).alias("end")))
 
-    def edges(t: Column, at: Column, gram: list[str]) -> Column:
-        """Where an n-gram's occurrences begin and end."""
-        n = len(gram)
-        places = F.filter(_starts(t, n), lambda i: F.slice(t, i, n) == F.array(*[F.lit(g) for g in gram]))
-        begins = F.transform(places, lambda i: F.element_at(at, i))
-        ends = F.transform(places, lambda i: F.element_at(at, i + n - 1) + F.length(F.element_at(t, i + n - 1)))
-        return F.struct(begins.alias("b"), ends.alias("e"))
 
-    def of(x: Column) -> Column:
-        def tags(i: Column) -> list[Column]:
-            out = []
-            for k, (_, start, end) in enumerate(ordered):
-                out += [F.when(F.array_contains(x[f"g{k}"]["e"], i), end).otherwise(""), F.when(F.array_contains(x[f"g{k}"]["b"], i), start).otherwise("")]
-            return out
+def highlight(tokens: Column | str, text: Column | str, spans: Column | list[tuple[list[str], str, str]], low: Column | str | None = None) -> Column:
+    """The text with tags around every occurrence of each n-gram (structs gram, start, end); longer n-grams are outermost.
+
+    All tags are put in order of their places once, and the text is cut there. ``low`` is
+    where the tokens are looked for, if not in the text itself.
+    """
+    if isinstance(spans, list):
+        if not spans:
+            return _col(text)
+        spans = F.array(*[F.struct(F.array(*map(F.lit, g)).alias("gram"), F.lit(a).alias("start"), F.lit(b).alias("end")) for g, a, b in spans])
+    ordered = F.array_sort(spans, lambda a, b: F.size(b["gram"]) - F.size(a["gram"]))
 
-        places = F.sequence(F.lit(0), F.length(x["s"]))
-        return F.array_join(F.transform(places, lambda i: F.concat(*tags(i), F.substr(x["s"], i + 1, F.lit(1)))), "")
+    def edges(t: Column, at: Column, span: Column, k: Column) -> Column:
+        """The tags (place, rank among the tags of a place, tag) of an n-gram's occurrences."""
+        n = F.size(span["gram"])
+        places = F.filter(_starts(t, n), lambda i: F.slice(t, i, n) == span["gram"])
+        tag = lambda place, rank, mark: F.struct(place.cast("int").alias("at"), rank.alias("rank"), mark.alias("tag"))
+        begins = F.transform(places, lambda i: tag(F.element_at(at, i), 2 * k + 1, span["start"]))
+        return F.concat(begins, F.transform(places, lambda i: tag(F.element_at(at, i + n - 1) + F.length(F.element_at(t, i + n - 1)), 2 * k, span["end"])))
 
     def bound(y: Column) -> Column:
-        return F.struct(y["s"].alias("s"), *[edges(y["t"], y["at"], g).alias(f"g{k}") for k, (g, _, _) in enumerate(ordered)])
+        return F.struct(y["s"].alias("s"), F.array_sort(F.flatten(F.transform(y["spans"], lambda x, k: edges(y["t"], y["at"], x, k)))).alias("tags"))
+
+    def of(x: Column) -> Column:
+        def piece(e: Column, i: Column) -> Column:
+            before = F.when(i > 0, F.get(x["tags"], i - 1)["at"]).otherwise(0)
+            return F.concat(F.substr(x["s"], before + 1, e["at"] - before), e["tag"])
+
+        last = F.coalesce(F.try_element_at(x["tags"], F.lit(-1))["at"], F.lit(0))
+        return F.concat(F.array_join(F.transform(x["tags"], piece), ""), F.substr(x["s"], last + 1))
 
     t, s = _col(tokens), _col(text)
-    return let(let(F.struct(t.alias("t"), s.alias("s"), align(t, s).alias("at")), bound), of)
+    return let(let(F.struct(t.alias("t"), s.alias("s"), align(t, s if low is None else low).alias("at"), ordered.alias("spans")), bound), of)

@@ -1,7 +1,9 @@
 """Scalar functions on message text, as Column expressions.
 
 Patterns are written for the JVM's regex engine: Unicode classes, possessive groups where a
-group repeats, so that long runs neither overflow the stack nor back-track.
+group repeats, so that long runs neither overflow the stack nor back-track. Alternatives
+that look far ahead stand behind a guard: where such a one has failed, it fails again until
+its run of characters ends or a token has been found (``\\G``), so it is tried there only.
 """
 
 from __future__ import annotations
@@ -16,33 +18,43 @@ EDGE = r"""['"“”‘’<>«»{}()\[\]]"""
 EMOTICON = r"(?:[:=]|;)(?:|o|O|-)(?:[pP]|[doO/\\]|[(\[]|[D)\]])"
 HAPPY = r"\^_\^|[:=](?:|o|O|-)[D)\]]"
 SAD = r"[:=](?:|o|O|-)[(\[]"
+EMOTICON_KINDS = {
+    "happy": HAPPY,
+    "sad": SAD,
+    "wink": r";(?:|o|O|-)[D)\]]",
+    "tongue": r"[:=](?:|o|O|-)[pP]",
+    "other": r"(?:[:=]|;)(?:|o|O|-)[doO/\\]",
+}
 URL = (
     r"\b(?:https?://|www\.|[a-z0-9.-]+?\.(?:com|co\.uk|org|net|info|ca)(?=[/ \W\x08]))"
     rf"[^ \t\r\n<>]*?(?=(?:(?:{PUNCT}|{ENTITY})+?)?(?:\.\.+|[<>]|\s|$))"
 )
+#: The same, tried once in a run of its characters: a match within a run is one from the run's first boundary too.
+GUARDED_URL = URL.replace("[a-z0-9.-]+?", r"(?:(?<![a-z0-9.-])|\G|(?=[.-])|(?<=(?<![a-z0-9])-))[a-z0-9.-]+?", 1)
 BOUNDARY_NOT_DOT = rf"""(?:\s|[“"?!,:;]|{ENTITY})"""
 JUNK = r"^[^a-zA-Z0-9_@]+$"
 PHRASE_BOUNDARY = r"""^(?:[.,“"'?!:;|-]+|&(?:amp|lt|gt|quot);)$"""
 EDGE_TOKEN = rf"^{EDGE}+$"
 
+_DIGITS = r"(?:(?<!\d)|\G)"
+#: After a letter and a full stop a chain goes on, unless the letter ended an emoticon.
+_CHAIN = r"(?:(?<![A-Za-z]\.)|(?<=[:=;][oO-]?[pPdDoO]\.))"
 #: Spans that stay whole, the first that matches at a place wins.
 PROTECTED = [
     EMOTICON,
-    URL,
+    GUARDED_URL,
     ENTITY,
-    r"\d+:\d+",
-    r"\d+\.\d+",
-    r"\d+,(?:\d{1,3},)*+\d{3}(?=[^,]|$)",
+    rf"{_DIGITS}\d++:\d++",
+    rf"{_DIGITS}\d++\.\d++",
+    rf"{_DIGITS}\d++,(?:\d{{1,3}},)*+\d{{3}}(?=[^,]|$)",
     rf"{PUNCT}++",
-    rf"(?:[A-Za-z]\.){{2,}}+(?={BOUNDARY_NOT_DOT})",
-    rf"(?:[A-Za-z]\.)++[A-Za-z](?={BOUNDARY_NOT_DOT})",
+    rf"{_CHAIN}(?:[A-Za-z]\.){{2,}}+(?={BOUNDARY_NOT_DOT})",
+    rf"{_CHAIN}(?:[A-Za-z]\.)++[A-Za-z](?={BOUNDARY_NOT_DOT})",
     r"--+|―",
     r"[♫]+",
-    r"\S+'\S+",
+    r"(?:(?<!\S)|\G)\S[^\s']*+'\S++",
 ]
-#: Unbroken runs longer than this are one token, which bounds the work on them.
-LONGEST_RUN = 1000
-_PROTECT = rf"(?U)(?<!\S)\S{{{LONGEST_RUN + 1},}}+|" + "|".join(PROTECTED)
+_PROTECT = "(?U)" + "|".join(PROTECTED)
 
 
 def _col(c: Column | str) -> Column:
@@ -94,6 +106,11 @@ def sentiment(text: Column | str) -> Column:
     return F.when(happy & sad, "BOTH_HS").when(happy, "HAPPY").when(sad, "SAD").otherwise("NA")
 
 
+def emoticons(text: Column | str) -> Column:
+    """Which kinds of emoticons a text has, as a struct of booleans."""
+    return F.struct(*[F.rlike(_col(text), F.lit(p)).alias(k) for k, p in EMOTICON_KINDS.items()])
+
+
 def has_url(token: Column | str) -> Column:
     return F.rlike(_col(token), F.lit(f"(?Ui){URL}"))
 
@@ -113,7 +130,11 @@ def link_urls(text: Column | str, css: str = "t") -> Column:
     return F.regexp_replace(linked, f'(?i)(<a class="{css}" target="_blank" href=")http://(?=http)', "$1")
 
 
-def link_mentions(text: Column | str, base: str = "http://twitter.com/") -> Column:
+#: Fixed value: where messages' authors are found.
+PEOPLE = "http://twitter.com/"
+
+
+def link_mentions(text: Column | str, base: str = PEOPLE) -> Column:
     return F.regexp_replace(_col(text), r"(?U)@(\w+)", f'<a class="at" target="_blank" href="{base}$1">@$1</a>')
 
 
@@ -124,6 +145,32 @@ def escape_html(text: Column | str) -> Column:
     return s
 
 
+def encode_url(text: Column | str) -> Column:
+    """A text as a part of a URL's query."""
+    return F.url_encode(_col(text))
+
+
+def plain_ascii(text: Column | str) -> Column:
+    """Other than ASCII characters as numeric references."""
+    chars = F.split(_col(text), "")
+    return F.array_join(F.transform(chars, lambda c: F.when(F.ascii(c) > 127, F.concat(F.lit("&#"), F.ascii(c).cast("string"), F.lit(";"))).otherwise(c)), "")
+
+
+def rejoin_clitics(tokens: Column | str) -> Column:
+    """An apostrophe and a following token ``s``, ``t`` or ``m`` as one token."""
+    joined = F.regexp_replace(F.array_join(_col(tokens), " "), r"( |^)(') ([stm])( |$)", "$1$2$3$4")
+    return F.filter(F.split(joined, " "), lambda t: t != "")
+
+
+def subset(tokens: Column | str, places: Column) -> Column:
+    """The tokens (or their offsets) at places from 0."""
+    return F.transform(places, lambda i: F.element_at(_col(tokens), i + 1))
+
+
+def is_phone(agent: Column | str) -> Column:
+    return F.rlike(_col(agent), F.lit("Mobile.*Safari"))
+
+
 def pluralize(n: Column | str, unit: str) -> Column:
     c = _col(n)
     return F.concat(c.cast("string"), F.when(c == 1, F.lit(f" {unit}")).otherwise(F.lit(f" {unit}s")))
@@ -173,6 +220,25 @@ def quoted_if_phrase(name: Column | str) -> Column:
     return F.when(F.size(F.split(c, " +")) > 1, F.concat(F.lit('"'), c, F.lit('"'))).otherwise(c)
 
 
+def matched(text: Column | str, pattern: str, group: int = 0) -> Column:
+    """A group of a pattern's first match; null without one."""
+    c = _col(text)
+    return F.when(F.rlike(c, F.lit(pattern)), F.regexp_extract(c, pattern, group))
+
+
+def all_matched(text: Column | str, pattern: str, group: int = 0) -> Column:
+    return F.regexp_extract_all(_col(text), F.lit(pattern), F.lit(group))
+
+
+def replaced(text: Column | str, pattern: str, by: str) -> Column:
+    return F.regexp_replace(_col(text), pattern, by)
+
+
+def shown_matches(text: Column | str, pattern: str, start: str = "[[", end: str = "]]") -> Column:
+    """A text with its matches marked."""
+    return F.regexp_replace(_col(text), f"({pattern})", f"{start}$1{end}")
+
+
 def query_refinement(query: str, label: Column | str) -> Column:
     """The query narrowed to a topic's label; null for the topic of leftovers."""
     c = _col(label)

@@ -28,8 +28,11 @@ def hard_dedupe(df: DataFrame, key: str = "text_user") -> DataFrame:
     return first_by(once, KEYS[key](), F.col("doc_id"))
 
 
-def merge_same_text(df: DataFrame, columns: tuple[str, ...] = ("from_user",)) -> DataFrame:
-    """One row for each text: the least id and time, all ids, and the other columns as arrays in order of ids."""
+def merge_same_text(df: DataFrame, columns: tuple[str, ...] | None = None) -> DataFrame:
+    """One row for each text: the least id and time, all ids, and the other columns (None: all
+    of them) as arrays in order of ids; a message that lacks a column has a null there."""
+    if columns is None:
+        columns = tuple(c for c in df.columns if c not in ("doc_id", "text", "created_at"))
     row = F.struct(F.col("doc_id"), *[F.col(c) for c in columns])
     rows = F.array_sort(F.collect_list(row))
     merged = df.groupBy("text").agg(F.min("doc_id").alias("doc_id"), F.min("created_at").alias("created_at"), rows.alias("rows"))

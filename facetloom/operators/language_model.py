@@ -7,7 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from facetloom.operators.ngrams import occurrences, postings
+from facetloom.operators.ngrams import occurrences
+from facetloom.shared import materialize
 
 SMOOTHING = ("mle", "laplace", "lidstone")
 
@@ -29,21 +30,22 @@ class LanguageModel:
         return LanguageModel(counts, spark.read.parquet(f"{path}/info"))
 
 
-def _model(df: DataFrame, grams: DataFrame, tokens: str) -> LanguageModel:
-    counts = grams.groupBy("n", "ngram").agg(F.count("*").alias("cnt"))
-    types = counts.agg(*[F.count(F.when(F.col("n") == n, 1)).alias(f"types_{n}") for n in (1, 2, 3)])
-    big = df.agg(F.coalesce(F.sum(F.size(tokens)), F.lit(0)).alias("big_n"))
-    return LanguageModel(counts, big.crossJoin(types))  # one row each
+def _model(grams: DataFrame) -> LanguageModel:
+    """From n-grams with their times, in one pass over the messages; the counts are written once and read for all uses."""
+    all_counts = materialize(grams.groupBy("n", "ngram").agg(F.sum("times").alias("cnt")), "model")
+    types = [F.count(F.when(F.col("n") == n, 1)).alias(f"types_{n}") for n in (1, 2, 3)]
+    info = all_counts.agg(F.coalesce(F.sum(F.when(F.col("n") == 0, F.col("cnt"))), F.lit(0)).alias("big_n"), *types)
+    return LanguageModel(all_counts.where("n > 0"), materialize(info, "model-info"))
 
 
 def foreground(df: DataFrame, tokens: str = "toks", urls: bool = True) -> LanguageModel:
     """In how many messages each filtered n-gram occurs."""
-    return _model(df, postings(df, tokens, urls), tokens)
+    return _model(occurrences(df, tokens, (), urls, once=True, totals=True))
 
 
 def background(df: DataFrame, tokens: str = "toks", urls: bool = True) -> LanguageModel:
     """How often each filtered n-gram occurs."""
-    return _model(df, occurrences(df, tokens, ("doc_id",), urls), tokens)
+    return _model(occurrences(df, tokens, (), urls, totals=True))
 
 
 def smooth(kind: str, cnt: Column, big_n: Column, types: Column, delta: float = 0.5) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from facetloom.functions import text
-from facetloom.functions.sequences import ngrams
+from facetloom.functions.sequences import let, ngrams
 
 # The stop word lists.
 SUPER = "and of a an the in to & @".split()
@@ -21,70 +21,109 @@ LEFTSIDE = ") ] }".split()
 RIGHTSIDE = "i ( [ {".split()
 
 
-def _is(pattern: str):
-    return lambda t: F.rlike(t, F.lit(pattern))
+#: What is to be known of a token, worked out once wherever it occurs, as bits.
+STOP, TOO_COMMON, LEFT, RIGHT, EDGE, BOUNDARY, JUNK, HASH, AT, LINK = (1 << i for i in range(10))
 
 
-junk, boundary, edge = _is(text.JUNK), _is(text.PHRASE_BOUNDARY), _is(text.EDGE_TOKEN)
+def _plain(t: Column) -> Column:
+    """Whether a token begins with a letter, a digit or ``_`` of ASCII: then it is no punctuation."""
+    c = F.ascii(t)
+    return c.between(97, 122) | c.between(48, 57) | c.between(65, 90) | (c == 95)
+
+
+def flagged(tokens: Column, urls: bool = True) -> Column:
+    """Tokens as structs of the token ``t`` and its bits ``f``; ``urls``: tokens may be URLs."""
+    bit = lambda test, value: F.when(test, value).otherwise(0)
+
+    def of(t: Column) -> Column:
+        odd = bit(F.rlike(t, F.lit(text.EDGE_TOKEN)), EDGE) + bit(F.rlike(t, F.lit(text.PHRASE_BOUNDARY)), BOUNDARY) + bit(F.rlike(t, F.lit(text.JUNK)), JUNK)
+        odd = odd + bit(F.startswith(t, F.lit("#")), HASH) + bit(F.startswith(t, F.lit("@")), AT)
+        bits = F.when(_plain(t), F.lit(0)).otherwise(odd)
+        for words, value in ((SUPER + NORMAL + ONLY_AS_UNIGRAMS + LEFTSIDE + RIGHTSIDE, STOP), (SUPER, TOO_COMMON), (LEFTSIDE, LEFT), (RIGHTSIDE, RIGHT)):
+            bits = bits + bit(t.isin(words), value)
+        if urls:
+            bits = bits + bit(text.has_url(t), LINK)
+        return F.struct(t.alias("t"), bits.alias("f"))
+
+    return F.transform(tokens, of)
+
+
+def _any(p: list[Column], bits: int) -> Column:
+    return reduce(lambda a, b: a.bitwiseOR(b), [x["f"] for x in p]).bitwiseAND(F.lit(bits)) != 0
 
 
 def keep_unigram(p: list[Column]) -> Column:
-    t = p[0]
-    return ~t.isin(*SUPER, *NORMAL, *ONLY_AS_UNIGRAMS, *LEFTSIDE, *RIGHTSIDE) & ~boundary(t) & ~edge(t)
+    return ~_any(p, STOP | BOUNDARY | EDGE)
 
 
-def _none(test, parts: list[Column]) -> Column:
-    return ~reduce(lambda a, b: a | b, map(test, parts))
+def _mentions(p: list[Column]) -> Column:
+    return sum(x["f"].bitwiseAND(F.lit(AT)) for x in p) <= AT
 
 
-def _common(p: list[Column], urls: bool) -> Column:
-    """No hashtag, one mention at most and, where tokens may hold them, no URL."""
-    ok = _none(lambda t: F.startswith(t, F.lit("#")), p)
-    ok = ok & (sum(F.startswith(t, F.lit("@")).cast("int") for t in p) <= 1)
-    return ok & _none(text.has_url, p) if urls else ok
+def keep_bigram(p: list[Column]) -> Column:
+    """Neither word too common or punctuation, no hashtag and no URL, one mention at most."""
+    return ~_any(p, TOO_COMMON | EDGE | BOUNDARY | JUNK | HASH | LINK) & _mentions(p)
 
 
-def keep_bigram(p: list[Column], urls: bool = True) -> Column:
-    ends = ~p[0].isin(SUPER) & ~p[-1].isin(SUPER) & ~edge(p[0]) & ~edge(p[-1])
-    return ends & _none(boundary, p) & _none(junk, p) & _common(p, urls)
+def keep_trigram(p: list[Column]) -> Column:
+    """As for two words, but the one in the middle may be a common word or junk."""
+    ends = ~_any(p[:1], TOO_COMMON | LEFT | JUNK) & ~_any(p[-1:], TOO_COMMON | RIGHT | JUNK)
+    return ends & ~_any(p, BOUNDARY | HASH | LINK) & _mentions(p)
 
 
-def keep_trigram(p: list[Column], urls: bool = True) -> Column:
-    ends = ~p[0].isin(SUPER + LEFTSIDE) & ~p[-1].isin(SUPER + RIGHTSIDE) & ~junk(p[0]) & ~junk(p[-1])
-    return ends & _none(boundary, p) & _common(p, urls)
+KEEP = {1: keep_unigram, 2: keep_bigram, 3: keep_trigram}
 
 
 def drop_leading_mentions(tokens: Column) -> Column:
     """Tokens from the first that is no mention."""
-    first = F.array_position(F.transform(tokens, lambda t: ~F.startswith(t, F.lit("@"))), F.lit(True))
-    return F.when(first == 0, F.array().cast("array<string>")).otherwise(F.slice(tokens, F.greatest(first, F.lit(1)).cast("int"), F.size(tokens)))
+    return _from_first(tokens, lambda t: ~F.startswith(t, F.lit("@")))
+
+
+def _from_first(items: Column, test) -> Column:
+    first = F.array_position(F.transform(items, test), F.lit(True))
+    return F.slice(items, F.when(first == 0, F.size(items) + 1).otherwise(F.greatest(first, F.lit(1))).cast("int"), F.size(items))
+
+
+def _grams(x: Column, n: int) -> Column:
+    """The n-grams of flagged tokens that pass the filters for their length."""
+    rest = x if n == 1 else _from_first(x, lambda t: t["f"].bitwiseAND(F.lit(AT)) == 0)
+    return ngrams(rest, n, KEEP[n], lambda t: t["t"])
 
 
 def filtered(tokens: Column | str, n: int, urls: bool = True) -> Column:
     """The n-grams of tokens that pass the filters for their length; ``urls``: tokens may be URLs."""
     t = F.col(tokens) if isinstance(tokens, str) else tokens
-    if n == 1:
-        return ngrams(t, 1, keep_unigram)
-    keep = keep_bigram if n == 2 else keep_trigram
-    return ngrams(drop_leading_mentions(t), n, lambda p: keep(p, urls))
+    return let(flagged(t, urls), lambda x: _grams(x, n))
+
+
+def occurrences(
+    df: DataFrame, tokens: str = "toks", keep: tuple[str, ...] = ("doc_id",), urls: bool = True, orders: tuple[int, ...] = (1, 2, 3), once: bool = False, totals: bool = False
+) -> DataFrame:
+    """(keep..., n, ngram): a row for every filtered n-gram of every row of ``df``.
+
+    ``once``: without a row's repeats, which takes no shuffle. ``totals`` adds a column
+    ``times``, 1 for an n-gram, and a row of n 0 with the number of a row's tokens.
+    """
 
+    def kinds(x: Column) -> Column:
+        grams = [(n, _grams(x, n)) for n in orders]
+        rows = [F.struct(F.lit(n).alias("n"), (F.array_distinct(g) if once else g).alias("grams"), F.lit(1).alias("times")) for n, g in grams]
+        if totals:
+            rows.append(F.struct(F.lit(0).alias("n"), F.array(F.lit("")).alias("grams"), F.size(x).alias("times")))
+        return F.array(*rows)
 
-def occurrences(df: DataFrame, tokens: str = "toks", keep: tuple[str, ...] = ("doc_id",), urls: bool = True, orders: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
-    """(keep..., n, ngram): a row for every filtered n-gram of every row of ``df``."""
-    kinds = F.array(*[F.struct(F.lit(n).alias("n"), filtered(tokens, n, urls).alias("grams")) for n in orders])
-    by_n = df.select(*keep, F.inline(kinds))
-    return by_n.select(*keep, "n", F.explode("grams").alias("ngram"))
+    by_n = df.select(*keep, F.inline(let(flagged(F.col(tokens), urls), kinds)))
+    return by_n.select(*keep, "n", F.explode("grams").alias("ngram"), *(["times"] if totals else []))
 
 
 def postings(df: DataFrame, tokens: str = "toks", urls: bool = True, orders: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
-    """(doc_id, n, ngram) without repeats; they are removed inside each row, without a shuffle."""
-    kinds = F.array(*[F.struct(F.lit(n).alias("n"), F.array_distinct(filtered(tokens, n, urls)).alias("grams")) for n in orders])
-    by_n = df.select("doc_id", F.inline(kinds))
-    return by_n.select("doc_id", "n", F.explode("grams").alias("ngram"))
+    """(doc_id, n, ngram) without repeats."""
+    return occurrences(df, tokens, ("doc_id",), urls, orders, once=True)
 
 
 def feature_line(tokens: Column | str, urls: bool = True) -> Column:
-    """Filtered unigrams, then filtered bigrams joined by ``_``, in one line."""
+    """Filtered unigrams, then filtered bigrams joined by ``_``, in one line; clitics are whole again before."""
+    tokens = text.lower_tokens(text.rejoin_clitics(tokens))
     pairs = F.transform(filtered(tokens, 2, urls), lambda g: F.replace(g, F.lit(" "), F.lit("_")))
     return F.array_join(F.concat(filtered(tokens, 1, urls), pairs), " ")
 

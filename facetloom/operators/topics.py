@@ -9,11 +9,13 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from facetloom.functions.sequences import dice, ngrams
 from facetloom.functions.text import norm_token
 from facetloom.operators import language_model as lm
 from facetloom.operators.components import connected_components
 from facetloom.operators.neardup import classes, similar_pairs
 from facetloom.operators.ngrams import NORMAL
+from facetloom.shared import materialize
 
 EXTRAS, EXTRAS_RATIO = "**EXTRAS**", -42.0
 MERGE_JACCARD = 0.9
@@ -40,7 +42,7 @@ def prune_dominated(topics: DataFrame) -> DataFrame:
 
 def extract_topics(fg: lm.LanguageModel, bg: lm.LanguageModel, query: list[str], smoothing: str = "lidstone", min_count: int = 3) -> DataFrame:
     """(n, ngram, cnt, bg_cnt, ratio) of the phrases that are topics."""
-    return prune_dominated(reject_phrases(lm.compare(fg, bg, smoothing, min_count), query))
+    return prune_dominated(materialize(reject_phrases(lm.compare(fg, bg, smoothing, min_count), query), "phrases"))
 
 
 def topic_docs(topics: DataFrame, postings: DataFrame) -> DataFrame:
@@ -158,15 +160,19 @@ MERGED = "rank int, n int, ngram string, label string, ngrams array<string>, rat
 def merge_topics(topics: DataFrame, members: DataFrame, docs: DataFrame, fg: lm.LanguageModel, delta: float = 0.5) -> DataFrame:
     """Topics with more than one group, merged greedily in rank order and labelled.
 
-    The order decides, so one query's topics are one piece of work. Its size is bounded by
-    the result page that a search reads (``pages * rpp`` messages), not by the corpus.
+    A leader's label is read off the head of the smallest group that is left to it. The
+    order decides, so one query's topics are one piece of work. Its size is bounded by the
+    result page that a search reads (``pages * rpp`` messages), not by the corpus: of the
+    tables, only the heads' tokens and the counts of n-grams that occur in heads are sent.
     """
-    sets = members.groupBy("n", "ngram").agg(F.collect_set("group_id").alias("groups")).where(F.size("groups") > 1)
     size = members.groupBy("n", "ngram", "group_id").agg(F.count("*").alias("size"), F.min_by("doc_id", "place").alias("head"))
-    first = size.groupBy("n", "ngram").agg(F.min_by("head", F.struct("size", "group_id")).alias("head"))
-    rows = topics.select("n", "ngram", "ratio").join(sets, ["n", "ngram"]).join(first, ["n", "ngram"]).crossJoin(F.broadcast(fg.info))  # one row
-    tokens = docs.select(F.col("doc_id").alias("head"), "toks", F.lit(None).cast("string").alias("gram"), F.lit(None).cast("long").alias("cnt"))
-    counts = fg.counts.select(F.lit(None).cast("long").alias("head"), F.lit(None).cast("array<string>").alias("toks"), F.col("ngram").alias("gram"), "cnt")
+    groups = F.array_sort(F.collect_list(F.struct("size", "group_id", "head"))).alias("groups")
+    sets = materialize(size.groupBy("n", "ngram").agg(groups).where(F.size("groups") > 1), "topic-groups")
+    rows = topics.select("n", "ngram", "ratio").join(sets, ["n", "ngram"]).crossJoin(F.broadcast(fg.info))  # one row
+    heads = materialize(sets.select(F.explode("groups.head").alias("doc_id")).distinct().join(docs, "doc_id").select("doc_id", "toks"), "heads")
+    asked = heads.select(F.explode(F.concat(*[ngrams("toks", n) for n in (1, 2, 3)])).alias("ngram")).distinct()
+    tokens = heads.select(F.col("doc_id").alias("head"), "toks", F.lit(None).cast("string").alias("gram"), F.lit(None).cast("long").alias("cnt"))
+    counts = fg.counts.join(asked, "ngram", "left_semi").select(F.lit(None).cast("long").alias("head"), F.lit(None).cast("array<string>").alias("toks"), F.col("ngram").alias("gram"), "cnt")
     one = F.lit(1).alias("query")
 
     def work(frame: pd.DataFrame, other: pd.DataFrame) -> pd.DataFrame:
@@ -184,11 +190,12 @@ def merge_topics(topics: DataFrame, members: DataFrame, docs: DataFrame, fg: lm.
             return (count.get(" ".join(g), 0) + delta) / (big + delta * types[min(len(g), 3)])
 
         out = []
-        for rank, (i, absorbed, left) in enumerate(greedy_merge([set(map(int, g)) for g in frame["groups"]])):
+        for rank, (i, absorbed, left) in enumerate(greedy_merge([{int(x["group_id"]) for x in g} for g in frame["groups"]])):
             phrases = [frame.loc[j, "ngram"] for j in (i, *absorbed)]
             label = phrases[0]
             if absorbed:
-                runs = runs_in(list(heads[int(frame.loc[i, "head"])]), [tuple(p.split(" ")) for p in phrases])
+                head = next(int(x["head"]) for x in frame.loc[i, "groups"] if int(x["group_id"]) in left)  # in order of size
+                runs = runs_in(list(heads[head]), [tuple(p.split(" ")) for p in phrases])
                 label = " / ".join(" ".join(r) for r in choose_label(runs, probability))
             out.append((rank, int(frame.loc[i, "n"]), phrases[0], label, phrases, float(frame.loc[i, "ratio"]), sorted(left)))
         return pd.DataFrame(out, columns=columns)
@@ -196,6 +203,32 @@ def merge_topics(topics: DataFrame, members: DataFrame, docs: DataFrame, fg: lm.
     return rows.groupBy(one).cogroup(tokens.unionByName(counts).groupBy(one)).applyInPandas(lambda a, b: work(a, b), MERGED)
 
 
+def pair_report(members: DataFrame, sets: DataFrame, most: int = 100) -> DataFrame:
+    """(topic, a, b, dice) of all pairs of a topic's messages, by the Dice similarity of their
+    sets ``grams``; topics of more than ``most`` messages are left out of this report."""
+    small = members.groupBy("topic").count().where(F.col("count") <= most).select("topic")
+    rows = members.join(small, "topic").join(sets, "doc_id").select("topic", "doc_id", "grams")
+    left, right = (rows.select("topic", F.col("doc_id").alias(i), F.col("grams").alias(g)) for i, g in (("a", "ga"), ("b", "gb")))
+    return left.join(right, "topic").where("a < b").select("topic", "a", "b", dice("ga", "gb").alias("dice"))
+
+
+def preloaded(topics: DataFrame, members: DataFrame, most: int = 3) -> DataFrame:
+    """(n, ngram, ratio, doc_ids) of the topics whose messages are shown before one is asked for: the first few by rank."""
+    top = topics.orderBy(F.desc("ratio"), F.desc("n"), "ngram").limit(most)
+    docs = members.join(F.broadcast(top.select("n", "ngram")), ["n", "ngram"]).groupBy("n", "ngram").agg(F.sort_array(F.collect_set("doc_id")).alias("doc_ids"))
+    return top.select("n", "ngram", "ratio").join(docs, ["n", "ngram"])
+
+
+def in_both(one: DataFrame, two: DataFrame, docs: DataFrame) -> DataFrame:
+    """Messages whose doc_id two topics share."""
+    return docs.join(one.select("doc_id").intersect(two.select("doc_id")), "doc_id", "left_semi")
+
+
+def excluding(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """Messages that are not in a list of ids."""
+    return docs.join(ids.select("doc_id"), "doc_id", "left_anti")
+
+
 def leftovers(docs: DataFrame, shown: DataFrame) -> DataFrame:
     """Messages that no topic has."""
     return docs.join(shown.select("doc_id").distinct(), "doc_id", "left_anti")

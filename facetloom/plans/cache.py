@@ -1,7 +1,8 @@
-"""Result caching: keys, expiry, what to refresh, and a read-through store."""
+"""Result caching: keys, expiry, what to refresh, and a read-through store that outlives its process."""
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 from urllib.parse import urlencode
 
@@ -27,27 +28,50 @@ def to_refresh(entries: DataFrame, now: Column, old: int = OLD_S, most: int = ST
     return unseen.unionByName(stale)
 
 
+def hashed_key(key: Column) -> Column:
+    """The name under which a key's results are stored."""
+    return F.sha2(key.cast("binary"), 256)
+
+
 class ResultCache:
-    """Query results as Parquet under a folder, with the time of their making."""
+    """Query results as Parquet under a folder: ``<hash of the key>/<time in milliseconds>``.
+
+    The folder is the index, so another process, or the same one later, finds them.
+    """
 
     def __init__(self, spark: SparkSession, folder: str, ttl: int | None = TTL_S) -> None:
         self.spark, self.folder, self.ttl = spark, folder, ttl
-        self.made: dict[str, tuple[float, str]] = {}
+
+    def _path(self, *parts: str):
+        return self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path("/".join([self.folder, *parts]))
+
+    def made(self, key: str) -> tuple[float, str] | None:
+        """When a key's newest result was made, and where it is; results that were not written to the end don't count."""
+        top = self._path(hashlib.sha256(key.encode()).hexdigest())
+        store = top.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        if not store.exists(top):
+            return None
+        times = [int(x.getPath().getName()) for x in store.listStatus(top)]
+        for ms in sorted(times, reverse=True):
+            if store.exists(self._path(top.getName(), str(ms), "_SUCCESS")):
+                return ms / 1000, str(self._path(top.getName(), str(ms)))
+        return None
 
     def call(self, key: str, make: Callable[[], DataFrame], now: float, force: bool = False) -> DataFrame:
         """The stored result, or a new one if it is missing, expired or to be made anew; ``ttl`` None never expires."""
-        at, path = self.made.get(key, (None, None))
-        if force or at is None or self.ttl is not None and now - at > self.ttl:
-            path = f"{self.folder}/{abs(hash(key))}-{len(self.made)}-{int(now * 1000)}"
+        found = self.made(key)
+        if force or found is None or self.ttl is not None and now - found[0] > self.ttl:
+            path = str(self._path(hashlib.sha256(key.encode()).hexdigest(), str(int(now * 1000))))
             make().write.mode("overwrite").parquet(path)
-            self.made[key] = (now, path)
+        else:
+            path = found[1]
         return self.spark.read.parquet(path)
 
 
 def prebake(cache: ResultCache, queries: list[str], make: Callable[[str, int], DataFrame], now: float, sizes: tuple[int, ...] = (10, 40)) -> list[str]:
     """One round of refreshing: returns the keys made. A query that fails is left for the next round."""
     keys = {cache_key(q, n): (q, n) for q in queries for n in sizes}
-    rows = [(k, None if k not in cache.made else cache.made[k][0]) for k in keys]
+    rows = [(k, (cache.made(k) or (None,))[0]) for k in keys]
     entries = cache.spark.createDataFrame(rows, "key string, last_update double")
     done = []
     for r in to_refresh(entries, F.lit(now)).collect():  # a row for each listed query

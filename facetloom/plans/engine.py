@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
-from dataclasses import dataclass, fields
+from dataclasses import dataclass, fields, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from facetloom.functions import text
+from facetloom.functions import rendering, text
 from facetloom.operators import dedupe, topics
 from facetloom.operators import language_model as lm
 from facetloom.operators.neardup import neardup_groups
@@ -54,8 +55,6 @@ class QueryOptions:
     @staticmethod
     def topics_for(agent: str) -> int:
         """Fewer topics for phones, known by their user agent."""
-        import re
-
         return 10 if re.search("Mobile.*Safari", agent) else 40
 
 
@@ -68,10 +67,19 @@ class Results:
     shown: DataFrame
 
 
+def tokens_of(column: str) -> Column:
+    """The whole tokenizer's tokens in lower case."""
+    return text.lower_tokens(text.tokenize(column))
+
+
 class Engine:
-    """Searches over a table of messages (doc_id, text, created_at, from_user, iso_language_code)."""
+    """Searches over a table of messages (doc_id, text, created_at, from_user, iso_language_code and any more).
+
+    ``tokens`` is the tokenizer of messages, queries and the background alike; ``urls``:
+    whether its tokens may be URLs, which longer phrases must not hold.
+    """
 
-    def __init__(self, corpus: DataFrame, background: lm.LanguageModel, tokens: Callable[[str], Column] = text.simple_tokens, urls: bool = False) -> None:
+    def __init__(self, corpus: DataFrame, background: lm.LanguageModel, tokens: Callable[[str], Column] = tokens_of, urls: bool = True) -> None:
         self.corpus, self.background, self.tokens, self.urls = corpus, background, tokens, urls
 
     def read(self, o: QueryOptions) -> DataFrame:
@@ -84,9 +92,8 @@ class Engine:
         docs = self.read(o)
         posts = materialize(postings(docs, urls=self.urls), "postings")
         fg = lm.foreground(docs, urls=self.urls)
-        query = [w for term in messages.parse_query(o.q) for w in term]
-        found = materialize(topics.extract_topics(fg, self.background, query, o.smoothing, o.min_count), "topics")
-        groups = neardup_groups(docs, posts.where("n = 3").select("doc_id", "ngram"))
+        found = materialize(topics.extract_topics(fg, self.background, messages.query_tokens(o.q), o.smoothing, o.min_count), "topics")
+        groups = materialize(neardup_groups(docs, posts.where("n = 3").select("doc_id", "ngram")), "groups")
         members = materialize(topics.topic_members(found, posts, groups, docs), "members")
         merged = topics.merge_topics(found, members, docs, fg).where(F.col("rank") < o.max_topics)
         merged = materialize(merged, "merged")
@@ -95,18 +102,56 @@ class Engine:
         shown = shown.select("rank", "group_id", "doc_id", "created_at").distinct()
         in_topic = merged.select("n", "ngram").join(members, ["n", "ngram"]).select("doc_id")
         left = topics.leftovers(docs, in_topic).join(groups, "doc_id").select(F.lit(-1).alias("rank"), "group_id", "doc_id", "created_at")
-        return Results(docs, found, members, merged, shown.unionByName(left))
+        return Results(docs, found, members, merged, materialize(shown.unionByName(left), "shown"))
+
+    def drill_down(self, o: QueryOptions, label: str) -> Results:
+        """The search for the query narrowed to a topic's label."""
+        return self.search(self.refined(o, label))
+
+    @staticmethod
+    def refined(o: QueryOptions, label: str) -> QueryOptions:
+        """The options of the query that a topic's label narrows; the query itself for the leftovers."""
+        if label == topics.EXTRAS:
+            return o
+        words = [w for w in label.replace('"', "").replace("/", "").split() if w]
+        junk = any(re.match("(?i)^[^a-z0-9@_-]+$", w) for w in words)
+        phrase = " ".join(words)
+        return replace(o, q=f"{o.q} " + (f'"{phrase}"' if len(words) > 1 and not junk else phrase))
+
+    def rendered(self, r: Results, o: QueryOptions) -> DataFrame:
+        """(rank, label, label_grams, group_id, doc_id, created_at, html): every message shown, as HTML with its topic's and the query's phrases marked."""
+        grams = F.transform("ngrams", lambda g: F.split(g, " "))
+        named = r.shown.join(r.merged.select("rank", "label", grams.alias("label_grams")), "rank", "left")
+        named = named.withColumn("label", F.coalesce("label", F.lit(topics.EXTRAS))).withColumn("label_grams", F.coalesce("label_grams", F.array().cast("array<array<string>>")))
+        rows = named.join(r.docs.select("doc_id", "text", "toks", "ids", F.col("multi_from_user").alias("users")), "doc_id")
+        # tokens are in lower case and have the places of those in the text
+        own = rows.withColumn("text", text.squeeze(text.munge_edges(text.squeeze("text")))).withColumn("low", F.lower("text"))
+        body = F.when(F.length("low") == F.length("text"), F.col("text")).otherwise(F.col("low"))
+        html = F.concat(rendering.message_html("toks", body, messages.query_tokens(o.q), F.col("label_grams"), "low"), F.lit(" &nbsp; "), rendering.authors_html(F.col("users"), F.col("ids")))
+        return own.select("rank", "label", "label_grams", "group_id", "doc_id", "created_at", html.alias("html"))
 
     def to_json(self, r: Results, o: QueryOptions) -> DataFrame:
         """(rank, label, topic): each topic as JSON, its groups newest head first; the leftovers come last, with rank -1."""
-        order = F.array_sort(F.collect_list(F.struct("created_at", "doc_id")))
-        groups = r.shown.groupBy("rank", "group_id").agg(order.alias("m"))
-        groups = groups.select("rank", F.struct((-F.unix_seconds(F.col("m")[0]["created_at"])).alias("newest"), F.col("m.doc_id").alias("ids")).alias("g"))
-        per = groups.groupBy("rank").agg(F.array_sort(F.collect_list("g")).alias("gs"))
-        named = per.join(r.merged.select("rank", "label"), "rank", "left").withColumn("label", F.coalesce("label", F.lit(topics.EXTRAS)))
+        members = F.array_sort(F.collect_list(F.struct("created_at", "doc_id", "html")))
+        groups = self.rendered(r, o).groupBy("rank", "label", "group_id").agg(members.alias("m"))
+        groups = groups.select("rank", "label", F.struct((-F.unix_seconds(F.col("m")[0]["created_at"])).alias("newest"), F.col("m.doc_id").alias("ids"), F.col("m.html").alias("htmls")).alias("g"))
+        per = groups.groupBy("rank", "label").agg(F.array_sort(F.collect_list("g")).alias("gs"))
         topic = F.struct(
             F.col("label"), text.nice_label("label").alias("nice_label"), F.array_join(F.transform(F.flatten("gs.ids"), lambda i: i.cast("string")), " ").alias("tweet_ids"),
-            F.transform("gs", lambda g: F.struct(g["ids"][0].alias("head"), F.slice(g["ids"], F.lit(2), F.size(g["ids"])).alias("rest"))).alias("groups"),
+            F.transform("gs", lambda g: F.struct(g["htmls"][0].alias("head_html"), F.slice(g["htmls"], F.lit(2), F.size(g["htmls"])).alias("rest_htmls"))).alias("groups"),
             text.query_refinement(o.q, "label").alias("query_refinement"),
         )
-        return named.select("rank", "label", F.to_json(topic).alias("topic"))
+        return per.select("rank", "label", F.to_json(topic, {"ignoreNullFields": "false"}).alias("topic"))
+
+    def response(self, r: Results, o: QueryOptions, now: Column) -> DataFrame:
+        """One row, the whole answer: topic_list (labels in order), topic_info (by label; of equal labels the last counts)
+        and time_since_earliest. It holds ``max_topics`` topics of a page of messages, whatever the corpus."""
+        order = F.when(F.col("rank") < 0, F.lit(1 << 30)).otherwise(F.col("rank"))
+        rows = F.array_sort(F.collect_list(F.struct(order.alias("order"), "label", "topic")))
+        quoted = lambda c: F.regexp_extract(F.to_json(F.array(c)), r"(?s)^\[(.*)\]$", 1)
+        last = F.filter("rows", lambda x, i: ~F.exists(F.slice("rows", i + 2, F.size("rows")), lambda y: y["label"] == x["label"]))
+        info = F.concat(F.lit("{"), F.array_join(F.transform(last, lambda x: F.concat(quoted(x["label"]), F.lit(":"), x["topic"])), ","), F.lit("}"))
+        since = r.docs.agg(F.min("created_at").alias("earliest")).select(text.nice_timedelta(F.unix_seconds(now) - F.unix_seconds("earliest")).alias("since"))
+        topics_ = self.to_json(r, o).agg(rows.alias("rows"))
+        body = F.concat(F.lit('{"topic_list":'), F.to_json(F.col("rows.label")), F.lit(',"topic_info":'), info, F.lit(',"time_since_earliest":'), F.coalesce(quoted(F.col("since")), F.lit("null")), F.lit("}"))
+        return topics_.crossJoin(F.broadcast(since)).select(body.alias("response"))  # one row each

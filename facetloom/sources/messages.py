@@ -91,10 +91,19 @@ def parse_query(query: str) -> list[list[str]]:
     return terms
 
 
-def matches(query: str, tokens: Column) -> Column:
-    """Whether tokens hold every word and phrase of a query; ``OR`` between parts means any of them."""
+def query_tokens(query: str) -> list[str]:
+    """All words of a query, in order, without the ``OR`` between its parts."""
+    return [w for part in query.split(" OR ") for term in parse_query(part) for w in term]
+
+
+def matches(query: str, tokens: Column, text: Column | None = None) -> Column:
+    """Whether tokens hold every word and phrase of a query; ``OR`` between parts means any of
+    them. ``text``, what the tokens were made of, rules most messages out without tokens."""
+
     def all_of(part: str) -> Column:
         out = F.lit(True)
+        for w in {w for term in parse_query(part) for w in term if w.isascii()} if text is not None else ():
+            out = out & F.contains(F.lower(text), F.lit(w))
         for term in parse_query(part):
             found = F.array_contains(tokens, term[0]) if len(term) == 1 else index_of(F.array(*[F.lit(w) for w in term]), tokens) >= 0
             out = out & found
@@ -108,7 +117,7 @@ def matches(query: str, tokens: Column) -> Column:
 
 def search(df: DataFrame, query: str, pages: int | None = 2, rpp: int = 100, tokens: Callable[[str], Column] = simple_tokens) -> DataFrame:
     """Messages that match, newest ids first: ``pages`` pages of ``rpp`` (None: all)."""
-    found = df.where(matches(query, tokens("text")))
+    found = df.where(matches(query, tokens("text"), F.col("text")))
     return found if pages is None else found.orderBy(F.desc("doc_id")).limit(pages * rpp)
 
 
@@ -130,5 +139,65 @@ def scrape(fetch: Callable[[str, int], DataFrame | None], until: str, pages: int
         end = (oldest or end) - timedelta(days=1)
 
 
+def read_pages(spark: SparkSession, fetch: Callable[[str, int, int], list[str] | None], query: str, pages: int = 2, rpp: int = 100, retries: int = 1) -> DataFrame:
+    """Messages of a paged endpoint, a task for each page, newest ids first.
+
+    ``fetch(query, page, rpp)`` returns a page's messages as JSON strings, or None for one
+    that is not there; it is tried ``retries`` times more if it raises ``OSError``, and the
+    page is empty then. Other errors fail the task, which Spark runs again.
+    """
+    asked = spark.createDataFrame([(p,) for p in range(1, pages + 1)], "page int").repartition(pages, "page")
+
+    def read(frames):
+        import pandas as pd
+
+        for frame in frames:
+            for page in frame["page"]:
+                got = None
+                for _ in range(retries + 1):
+                    try:
+                        got = fetch(query, int(page), rpp)
+                        break
+                    except OSError:
+                        continue
+                yield pd.DataFrame({"line": got or []}, dtype="string")
+
+    rows = asked.mapInPandas(read, "line string").select(F.from_json("line", MESSAGE).alias("m")).select("m.*")
+    return rows.withColumnRenamed("id", "doc_id").withColumn("created_at", parse_time("created_at")).orderBy(F.desc("doc_id"))
+
+
+class Trends:
+    """Trending topics, asked for again when they are older than ``stale`` seconds; a failing
+    source is tried ``retries`` times, and keeps the last answer then."""
+
+    def __init__(self, spark: SparkSession, fetch: Callable[[], list[str]], stale: int = 300, retries: int = 5) -> None:
+        self.spark, self.fetch, self.stale, self.retries = spark, fetch, stale, retries
+        self.at: float | None = None
+        self.names: list[str] = []
+
+    def needs_update(self, now: float) -> bool:
+        return self.at is None or now - self.at > self.stale
+
+    def current(self, now: float) -> DataFrame:
+        if self.needs_update(now):
+            for _ in range(self.retries):
+                try:
+                    self.names, self.at = self.fetch(), now
+                    break
+                except OSError:
+                    continue
+        return with_simple_query(self.spark.createDataFrame([(n,) for n in self.names], "name string"))
+
+
+def featurize_tsv(spark: SparkSession, source: str, target: str, columns: int) -> None:
+    """Tab-separated lines with the text in the last of ``columns`` columns, which is replaced by its features."""
+    from facetloom.functions.text import tokenize
+    from facetloom.operators.ngrams import feature_line
+
+    names = [f"c{i}" for i in range(columns)]
+    rows = read_tsv(spark, source, ", ".join(f"{c} string" for c in names))
+    write_tsv(rows.withColumn(names[-1], feature_line(tokenize(F.coalesce(names[-1], F.lit(""))))), target)
+
+
 def with_simple_query(trends: DataFrame) -> DataFrame:
     return trends.withColumn("simple_query", quoted_if_phrase("name"))

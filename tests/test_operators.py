@@ -39,8 +39,56 @@ def test_offsets_reproduce_tokens(spark):
     assert [s[i : i + len(t)] for i, t in zip(one(spark, sequences.align(text.tokenize("t"), "t"), t=s), toks)] == toks
 
 
-def test_long_run_is_one_token(spark):
-    assert one(spark, F.size(text.tokenize("t")), t="x " + "1," * 20_000 + " y") == 3
+@pytest.mark.parametrize(
+    "run, tokens",
+    [
+        ("1," * 20_000, ["1", ","] * 20_000),
+        ("a" * 50_000, ["a" * 50_000]),
+        ("http://x.com/" + "a" * 1100 + "!!!", ["http://x.com/" + "a" * 1100, "!!!"]),
+        ("7" * 30_000 + ":5", ["7" * 30_000 + ":5"]),
+        ("a.b" * 3000 + "'s", ["a.b" * 3000, "'s"]),
+        ("ab." * 5_000, ["ab", "."] * 5_000),
+        ("x-" * 10_000 + "y", ["x-" * 10_000 + "y"]),
+        ("-" * 20_000, ["-" * 20_000]),
+    ],
+)
+def test_long_runs_are_tokens_like_others(spark, run, tokens):
+    assert one(spark, text.tokenize("t"), t=f"x {run} y") == ["x", *tokens, "y"]
+
+
+def test_guards_change_nothing(spark):
+    """The patterns behind guards against the same without: random strings of telling pieces."""
+    import random
+
+    rng = random.Random(11)
+    pieces = "a b x. A. 1 12 345 , . ' 's - -- : ; ;p =o http:// www. .com .co.uk .org &amp; é ♫ ? ! < ( / www _ 3:4 5.6".split() + [" ", " "]
+    texts = ["".join(rng.choice(pieces) for _ in range(rng.randrange(1, 14))) for _ in range(6000)]
+    guards = [text._DIGITS, text._CHAIN, r"(?:(?<![a-z0-9.-])|\G|(?=[.-])|(?<=(?<![a-z0-9])-))", r"(?:(?<!\S)|\G)"]
+    plain = text._PROTECT
+    for g in guards:
+        assert g in plain
+        plain = plain.replace(g, "")
+    plain = plain.replace(r"\S[^\s']*+'\S++", r"\S+'\S+").replace("++", "+").replace(r"{2,}+", "{2,}")
+    mark = lambda p: F.regexp_replace("t", p, "[$0]")
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", mark(text._PROTECT).alias("a"), mark(plain).alias("b")).where("a <> b").collect()
+    assert rows == []
+
+
+def test_clitics_and_characters(spark):
+    assert one(spark, text.rejoin_clitics("t"), t=["it", "'", "s", "don", "'", "t", "'", "x"]) == ["it", "'s", "don", "'t", "'", "x"]
+    assert one(spark, ngrams.feature_line("t"), t=["It", "'", "s", "Big", "Dog"]) == "'s big dog it_'s 's_big big_dog"
+    assert one(spark, text.plain_ascii("t"), t="aé♫") == "a&#233;&#9835;"
+    assert one(spark, text.encode_url("t"), t="a b&c") == "a+b%26c"
+    assert one(spark, text.subset("t", F.array(F.lit(2), F.lit(0))), t=["a", "b", "c"]) == ["c", "a"]
+    kinds = one(spark, text.emoticons("t"), t="x ;) y :p")
+    assert (kinds.happy, kinds.wink, kinds.tongue, kinds.sad, kinds.other) == (False, True, True, False, False)
+
+
+def test_patterns(spark):
+    assert [one(spark, text.matched("t", "(b)(c)", 2), t=t) for t in ("abcd", "x")] == ["c", None]
+    assert one(spark, text.all_matched("t", "[0-9]+"), t="a1b22") == ["1", "22"]
+    assert one(spark, text.replaced("t", "([a-z])1", "$1"), t="a1b1") == "ab"
+    assert one(spark, text.shown_matches("t", "b+"), t="abbc") == "a[[bb]]c"
 
 
 def test_ngram_filters(spark):
@@ -130,6 +178,16 @@ def test_greedy_merge():
     assert topics.greedy_merge([set(range(9)), set(range(10))])[0][1] == []  # exactly .9 is not enough
 
 
+def test_label_is_read_off_a_group_that_is_left(spark):
+    groups = {"a b": range(1, 21), "b c": range(2, 21)}
+    members = [(2, g, i, i, i, 1) for g, ids in groups.items() for i in ids]
+    members = spark.createDataFrame(members, "n int, ngram string, group_id long, doc_id long, created_at long, place int")
+    docs = spark.createDataFrame([(i, ["a", "b"] if i == 1 else ["a", "b", "c"]) for i in range(1, 21)], "doc_id long, toks array<string>")
+    ranked = spark.createDataFrame([(2, "a b", 2.0), (2, "b c", 1.0)], "n int, ngram string, ratio double")
+    merged = topics.merge_topics(ranked, members, docs, lm.foreground(docs, urls=False)).collect()
+    assert [(r.label, r.ngrams, r.group_ids) for r in merged] == [("a b c", ["a b", "b c"], list(range(2, 21)))]
+
+
 def test_labels():
     toks = "a b c d e".split()
     assert topics.runs_in(toks, [("a", "b"), ("b", "c"), ("e",), ("z",)]) == [("a", "b", "c"), ("e",)]
@@ -160,14 +218,106 @@ def test_options():
 
 def test_cache(spark, tmp_path):
     made = []
-    c = cache.ResultCache(spark, str(tmp_path), 60)
     make = lambda: made.append(1) or spark.range(1)
     for now in (0.0, 60.0, 60.5):
-        c.call("k", make, now)
+        cache.ResultCache(spark, str(tmp_path), 60).call("k", make, now)  # each finds what the one before stored
     assert len(made) == 2
+    c = cache.ResultCache(spark, str(tmp_path), None)
+    assert c.call("k", make, 1e6).count() == 1 and len(made) == 2
+    (tmp_path / cache.hashlib.sha256(b"k").hexdigest() / "70000").mkdir()  # one that was not written to the end
+    assert c.made("k")[0] == 60.5
     assert len(cache.prebake(c, ["a", "b"], lambda q, n: spark.range(n), 100.0)) == 4
 
 
+MESSAGES = [
+    (1, "The big dog runs (fast) at www.zoo.org/x today", "ann"),
+    (2, "The big dog runs (fast) at www.zoo.org/x today", "bob"),
+    (3, "A big dog barks at @cat today", "ann"),
+    (4, "my big dog sleeps", "cy"),
+    (5, "big dog eats a bone", "di"),
+    (6, "big lone wolf", "ed"),
+]
+
+
+@pytest.fixture(scope="module")
+def searched(spark):
+    from facetloom.plans.engine import Engine, tokens_of
+
+    rows = [(i, t, u, "en", 1240000000 + i) for i, t, u in MESSAGES]
+    df = spark.createDataFrame(rows, "doc_id long, text string, from_user string, iso_language_code string, s long").withColumn("created_at", F.timestamp_seconds("s")).drop("s")
+    bg = lm.background(spark.createDataFrame([(9, "a cat and a dog")], "doc_id long, text string").withColumn("toks", tokens_of("text")))
+    engine, o = Engine(df, bg), QueryOptions(q="big", min_count=2)
+    return engine, o, engine.search(o)
+
+
+def test_search(spark, searched):
+    engine, o, r = searched
+    import json
+
+    answer = json.loads(engine.response(r, o, F.timestamp_seconds(F.lit(1240003601))).first().response)
+    assert answer["topic_list"][-1] == topics.EXTRAS and answer["time_since_earliest"] == "60 minutes"
+    dog = answer["topic_info"]["big dog"]
+    assert dog["query_refinement"] == 'big "big dog"'
+    htmls = [h for g in dog["groups"] for h in (g["head_html"], *g["rest_htmls"])]
+    assert len(htmls) == 4 and sum("2 authors:" in h for h in htmls) == 1
+    two = next(h for h in htmls if "2 authors:" in h)
+    assert 'The <span class="topic_hl">big dog</span> runs ( fast ) at <a class="t" target="_blank" href="http://www.zoo.org/x">www.zoo.org/x</a> today' in two
+    assert '<a class="m" target="_blank" href="http://twitter.com/ann/status/1">ann</a>' in two
+    assert any('<a class="at" target="_blank" href="http://twitter.com/cat">@cat</a>' in h for h in htmls)
+    left = answer["topic_info"][topics.EXTRAS]
+    assert left["tweet_ids"] == "6" and left["query_refinement"] is None and '<span class="q_hl">big</span> lone' in left["groups"][0]["head_html"]
+
+
+def test_drill_down(spark, searched):
+    engine, o, _ = searched
+    assert engine.refined(o, "big dog / x").q == 'big "big dog x"' and engine.refined(o, topics.EXTRAS) is o
+    assert {i for r in engine.drill_down(o, "dog barks").docs.collect() for i in r.ids} == {3}
+    assert {i for r in engine.drill_down(o, "big dog").docs.collect() for i in r.ids} == {1, 2, 3, 4, 5}
+
+
+def test_paged_source(spark):
+    import json
+
+    def fetch(query, page, rpp):
+        if page == 2:
+            raise OSError("away")
+        return [json.dumps({"id": page * 10 + i, "text": query, "created_at": "Sun, 19 Apr 2009 05:38:24 +0000"}) for i in range(rpp)] if page < 4 else None
+
+    rows = messages.read_pages(spark, fetch, "q", 4, 2).collect()
+    assert [r.doc_id for r in rows] == [31, 30, 11, 10] and rows[0].text == "q" and rows[0].created_at.year == 2009
+
+
+def test_trends(spark):
+    calls = []
+
+    def fetch():
+        calls.append(1)
+        if len(calls) in (1, 4, 5):
+            raise OSError
+        return ["one", f"two words {len(calls)}"]
+
+    t = messages.Trends(spark, fetch, retries=2)
+    assert [r.simple_query for r in t.current(0.0).collect()] == ["one", '"two words 2"']
+    assert t.current(300.0).count() == 2 and len(calls) == 2  # not yet stale
+    t.current(301.0)
+    assert [r.name for r in t.current(700.0).collect()] == ["one", "two words 3"] and len(calls) == 5  # the last answer stays
+
+
+def test_multi_columns(spark):
+    df = spark.createDataFrame([(2, "t", 5, "u", None), (1, "t", 6, "v", "x")], "doc_id long, text string, created_at int, from_user string, to_user string")
+    r = dedupe.merge_same_text(df).first()
+    assert (r.doc_id, r.created_at, r.ids, r.multi_from_user, r.multi_to_user) == (1, 5, [1, 2], ["v", "u"], ["x", None])
+
+
+def test_reports(spark):
+    sets = spark.createDataFrame([(1, ["a", "b"]), (2, ["a", "b"]), (3, ["b", "c"])], "doc_id long, grams array<string>")
+    members = spark.createDataFrame([("t", 1), ("t", 2), ("t", 3), ("u", 1)], "topic string, doc_id long")
+    assert sorted(map(tuple, topics.pair_report(members, sets).collect())) == [("t", 1, 2, 1.0), ("t", 1, 3, 0.5), ("t", 2, 3, 0.5)]
+    assert topics.pair_report(members, sets, 2).count() == 0
+    assert [r.doc_id for r in topics.in_both(members.where("topic = 't'"), members.where("topic = 'u'"), sets).collect()] == [1]
+    assert sorted(r.doc_id for r in topics.excluding(sets, members.where("topic = 'u'")).collect()) == [2, 3]
+
+
 def test_streaming_counts(spark, tmp_path):
     from facetloom.streaming import counts
 
@@ -179,6 +329,40 @@ def test_streaming_counts(spark, tmp_path):
     assert got == {"big": 2, "dog": 1, "cat": 1, "big dog": 1, "big cat": 1}
 
 
+def test_stream_of_counts(spark, tmp_path):
+    from facetloom.streaming import counts
+
+    rows = spark.createDataFrame([(["big", "dog"], 10), (["big"], 20), (["big"], 4000)], "toks array<string>, s long").withColumn("created_at", F.timestamp_seconds("s")).drop("s")
+    rows.write.parquet(str(tmp_path / "in"))
+    stream = lambda: spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))
+    counts.running_counts(stream(), urls=False).writeStream.outputMode("complete").format("memory").queryName("running").trigger(availableNow=True).start().awaitTermination()
+    assert {r.ngram: r.cnt for r in spark.table("running").collect()} == {"big": 3, "dog": 1, "big dog": 1}
+    counts.windowed_counts(stream(), urls=False).writeStream.outputMode("complete").format("memory").queryName("windowed").trigger(availableNow=True).start().awaitTermination()
+    assert sorted(r.cnt for r in spark.table("windowed").where("ngram = 'big'").collect()) == [1, 2]
+
+
+def test_sources(spark, tmp_path):
+    (tmp_path / "j").write_text('{"id": 1, "text": "x", "created_at": "Sun, 19 Apr 2009 05:38:24 +0000"}\n')
+    r = messages.read_jsonl(spark, str(tmp_path / "j")).first()
+    assert (r.doc_id, r.text, r.to_user, r.created_at.hour) == (1, "x", None, 5)
+    (tmp_path / "l").write_text("one\ntwo\n")
+    assert [x.text for x in messages.read_lines(spark, str(tmp_path / "l")).collect()] == ["one", "two"]
+    (tmp_path / "f").write_text("7\tann\tIt's a Big Dog\n")
+    messages.featurize_tsv(spark, str(tmp_path / "f"), str(tmp_path / "g"), 3)
+    assert tuple(messages.read_tsv(spark, str(tmp_path / "g"), "a string, b string, c string").first()) == ("7", "ann", "'s big dog it_'s big_dog")
+
+
+def test_scrape(spark):
+    asked = []
+
+    def fetch(until, page):
+        asked.append((until, page))
+        return spark.createDataFrame([(1,)], "s long").select(F.timestamp_seconds("s").alias("created_at")) if len(asked) < 3 else None
+
+    assert len(list(messages.scrape(fetch, "2009-04-19", pages=2))) == 2
+    assert asked[:3] == [("2009-04-19", 1), ("2009-04-19", 2), ("1969-12-31", 1)] and len(asked) == 6
+
+
 def test_files(spark, tmp_path):
     df = spark.createDataFrame([(1, 'a "b', None)], "x int, y string, z string")
     messages.write_tsv(df.select("x", "y"), str(tmp_path / "t"))
