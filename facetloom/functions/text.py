@@ -36,6 +36,8 @@ JUNK = r"^[^a-zA-Z0-9_@]+$"
 PHRASE_BOUNDARY = r"""^(?:[.,“"'?!:;|-]+|&(?:amp|lt|gt|quot);)$"""
 EDGE_TOKEN = rf"^{EDGE}+$"
 
+#: Simple tokens.
+SIMPLE = "[a-z0-9_@#']+"
 _DIGITS = r"(?:(?<!\d)|\G)"
 #: After a letter and a full stop a chain goes on, unless the letter ended an emoticon.
 _CHAIN = r"(?:(?<![A-Za-z]\.)|(?<=[:=;][oO-]?[pPdDoO]\.))"
@@ -54,7 +56,7 @@ PROTECTED = [
     r"[♫]+",
     r"(?:(?<!\S)|\G)\S[^\s']*+'\S++",
 ]
-_PROTECT = "(?U)" + "|".join(PROTECTED)
+PROTECT = "(?U)" + "|".join(PROTECTED)
 
 
 def _col(c: Column | str) -> Column:
@@ -79,14 +81,14 @@ def split_clitics(text: Column | str) -> Column:
 
 def tokenize(text: Column | str) -> Column:
     """Tokens of a message: protected spans are padded with spaces, then the text is split; null for null."""
-    padded = F.regexp_replace(munge_edges(squeeze(text)), _PROTECT, " $0 ")
+    padded = F.regexp_replace(munge_edges(squeeze(text)), PROTECT, " $0 ")
     spaced = split_clitics(squeeze(padded))
     return F.filter(F.split(spaced, " "), lambda t: t != "")
 
 
 def simple_tokens(text: Column | str) -> Column:
     """Lower-case runs of letters, digits and ``_@#'``."""
-    return F.regexp_extract_all(F.lower(_col(text)), F.lit("[a-z0-9_@#']+"), F.lit(0))
+    return F.regexp_extract_all(F.lower(_col(text)), F.lit(SIMPLE), F.lit(0))
 
 
 def lower_tokens(tokens: Column | str) -> Column:
@@ -171,6 +173,27 @@ def is_phone(agent: Column | str) -> Column:
     return F.rlike(_col(agent), F.lit("Mobile.*Safari"))
 
 
+def label_html(label: Column | str, phone: bool = False) -> Column:
+    """A topic's label for a page; the leftovers' is ``more...``, and nothing on a phone."""
+    c = _col(label)
+    safe = c
+    for raw, mark in (('"', "&quot;"), (">", "&gt;"), ("<", "&lt;"), *([(" ", "&nbsp;")] if phone else [])):
+        safe = F.replace(safe, F.lit(raw), F.lit(mark))
+    return F.when(c == "**EXTRAS**", F.lit("" if phone else "<i>more...</i>")).otherwise(safe)
+
+
+# Codes of a terminal's colours.
+COLOURS = {"reset": 0, "bold": 1, "black": 30, "red": 31, "green": 32, "yellow": 33, "blue": 34, "magenta": 35, "cyan": 36, "white": 37}
+
+
+def coloured(text: Column | str, *names: str) -> Column:
+    """A text between a terminal's codes; bold stands next to it."""
+    if not names:
+        raise ValueError("name a colour")
+    codes = [F.lit(f"\x1b[{COLOURS[n]}m") for n in sorted(names, key=lambda n: n == "bold")]
+    return F.concat(*codes, _col(text), F.lit("\x1b[0m"))
+
+
 def pluralize(n: Column | str, unit: str) -> Column:
     c = _col(n)
     return F.concat(c.cast("string"), F.when(c == 1, F.lit(f" {unit}")).otherwise(F.lit(f" {unit}s")))

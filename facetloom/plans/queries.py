@@ -7,17 +7,19 @@ tokenizer has queries of its own.
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from facetloom.functions import rendering, sequences, text
 from facetloom.operators import dedupe, neardup, ngrams, topics
 from facetloom.operators import language_model as lm
-from facetloom.plans import cache
-from facetloom.plans.engine import Engine, QueryOptions
-from facetloom.shared import materialize
+from facetloom.plans import cache, sql_functions
+from facetloom.plans.engine import Engine, QueryOptions, tokens_of
+from facetloom.shared import materialize, new_path
 from facetloom.sources import messages
+from facetloom.streaming import counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -52,7 +54,7 @@ _TRI = f"g[1] NOT IN ({_list(ngrams.SUPER + ngrams.LEFTSIDE)}) AND g[3] NOT IN (
 #: tokens from the first that is no mention
 _REST = "list_filter(t, lambda x, i: i >= coalesce(list_position(list_transform(t, lambda y: NOT starts_with(y, '@')), true), len(t) + 1))"
 
-DOCS = f"d AS (SELECT doc_id, lang, source, text, coalesce({TOK}, []) AS t FROM documents)"
+DOCS = f"d AS MATERIALIZED (SELECT doc_id, lang, source, text, coalesce({TOK}, []) AS t FROM documents)"
 
 
 def _grams(n: int, of: str = "d", name: str = "") -> str:
@@ -63,13 +65,13 @@ def _grams(n: int, of: str = "d", name: str = "") -> str:
 
 
 def _all(of: str = "d", name: str = "") -> str:
-    return ", ".join(_grams(n, of, name) for n in (1, 2, 3)) + f", g{name} AS (FROM g1{name} UNION ALL FROM g2{name} UNION ALL FROM g3{name})"
+    return ", ".join(_grams(n, of, name) for n in (1, 2, 3)) + f", g{name} AS MATERIALIZED (FROM g1{name} UNION ALL FROM g2{name} UNION ALL FROM g3{name})"
 
 
 Q = "with"
 _FG = f"""{DOCS}, f AS (SELECT * FROM d WHERE lang = 'en' AND list_contains(t, '{Q}')), b AS (SELECT * FROM d WHERE NOT (lang = 'en' AND list_contains(t, '{Q}'))),
 {_all('f', 'f')}, {_all('b', 'b')},
-fc AS (SELECT n, ngram, count(DISTINCT doc_id) AS cnt FROM gf GROUP BY ALL), bc AS (SELECT n, ngram, count(*) AS bg_cnt FROM gb GROUP BY ALL),
+fc AS MATERIALIZED (SELECT n, ngram, count(DISTINCT doc_id) AS cnt FROM gf GROUP BY ALL), bc AS MATERIALIZED (SELECT n, ngram, count(*) AS bg_cnt FROM gb GROUP BY ALL),
 fi AS (SELECT (SELECT sum(len(t)) FROM f) AS big_n, count(*) FILTER (n = 1) AS t1, count(*) FILTER (n = 2) AS t2, count(*) FILTER (n = 3) AS t3 FROM fc),
 bi AS (SELECT (SELECT sum(len(t)) FROM b) AS b_big_n, count(*) FILTER (n = 1) AS b1, count(*) FILTER (n = 2) AS b2, count(*) FILTER (n = 3) AS b3 FROM bc),
 j AS (SELECT fc.n, fc.ngram, cnt, coalesce(bg_cnt, 0) AS bg_cnt, big_n::DOUBLE AS big_n, b_big_n::DOUBLE AS b_big_n,
@@ -90,9 +92,9 @@ def _ratio(kind: str) -> str:
 _CMP = {k: f"{_FG}, c AS (SELECT n, ngram, cnt, bg_cnt, {_ratio(k)} AS ratio FROM j)" for k in _P}
 _NORM = "CASE WHEN length(regexp_replace({x}, '^[^a-zA-Z0-9_@]+', '')) >= 1 THEN regexp_replace({x}, '^[^a-zA-Z0-9_@]+', '') ELSE {x} END"
 _WORDS = f"list_transform(string_split(ngram, ' '), lambda x: {_NORM.format(x='x')})"
-_T1 = f"{_CMP['lidstone']}, r AS (SELECT * FROM c WHERE len(list_filter({_WORDS}, lambda x: x <> '{Q}')) > 0 AND NOT (n > 1 AND list_last({_WORDS}) IN ({_list([w for w in ngrams.NORMAL if w != Q])})))"
+_T1 = f"{_CMP['lidstone']}, r AS MATERIALIZED (SELECT * FROM c WHERE len(list_filter({_WORDS}, lambda x: x <> '{Q}')) > 0 AND NOT (n > 1 AND list_last({_WORDS}) IN ({_list([w for w in ngrams.NORMAL if w != Q])})))"
 _T2 = f"""{_T1}, dom AS (SELECT n - 1 AS n, cnt, unnest([array_to_string(w[1 : len(w) - 1], ' '), array_to_string(w[2 : len(w)], ' ')]) AS ngram FROM (SELECT n, cnt, string_split(ngram, ' ') AS w FROM r WHERE n > 1)),
-top AS (SELECT * FROM r ANTI JOIN dom ON r.n = dom.n AND r.ngram = dom.ngram AND r.cnt = dom.cnt)"""
+top AS MATERIALIZED (SELECT * FROM r ANTI JOIN dom ON r.n = dom.n AND r.ngram = dom.ngram AND r.cnt = dom.cnt)"""
 _PAIRS = f"""{DOCS}, {_grams(3)}, s AS (SELECT DISTINCT doc_id, ngram FROM g3), z AS (SELECT doc_id, count(*) AS size FROM s GROUP BY 1),
 p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS common FROM s a JOIN s b ON a.ngram = b.ngram AND a.doc_id < b.doc_id GROUP BY ALL),
 pairs AS (SELECT a, b, common, 2 * common / (x.size + y.size)::DOUBLE AS dice FROM p JOIN z x ON x.doc_id = a JOIN z y ON y.doc_id = b WHERE common >= 2 AND 2 * common / (x.size + y.size)::DOUBLE >= 0.65)"""
@@ -474,17 +476,36 @@ def singleton_topic_filter(spark, d):
     return topics.topic_counts(_topic_members(spark, d)[2]).where("group_count > 1").select("n", "ngram")
 
 
-@query()
+@query(
+    f"""{_MEMBERS}, tg AS MATERIALIZED (SELECT DISTINCT n || '|' || ngram AS k, group_id FROM mem), tz AS (SELECT k, count(*) AS size FROM tg GROUP BY 1),
+tp AS MATERIALIZED (SELECT a.k AS u, b.k AS v FROM tg a JOIN tg b ON a.group_id = b.group_id JOIN tz x ON x.k = a.k JOIN tz y ON y.k = b.k WHERE x.size >= 0.9 * y.size AND y.size >= 0.9 * x.size
+       GROUP BY a.k, b.k, x.size, y.size HAVING count(*) >= 0.9 * (x.size + y.size - count(*)) - 1e-9),
+tr AS (SELECT u, v FROM tp UNION SELECT tr.u, tp.v FROM tr JOIN tp ON tr.v = tp.u)
+SELECT DISTINCT n, ngram, topic_id FROM mem JOIN (SELECT u, min(v) AS topic_id FROM tr GROUP BY u) ON u = n || '|' || ngram"""
+)
 def topic_merge_components(spark, d):
     return topics.merge_components(materialize(_topic_members(spark, d)[2], "members"))
 
 
-@query(f"WITH {_T2}, shown AS (SELECT DISTINCT doc_id FROM gf JOIN top ON top.n = gf.n AND top.ngram = gf.ngram) SELECT doc_id FROM f ANTI JOIN shown USING (doc_id)")
+_TURNS = f"d AS MATERIALIZED (SELECT conv_id * 1000 + turn AS doc_id, 'en' AS lang, role AS source, text, coalesce({TOK}, []) AS t FROM conversations)"
+
+
+@query(f"WITH {_T2.replace(DOCS, _TURNS)}, shown AS (SELECT DISTINCT doc_id FROM gf JOIN top ON top.n = gf.n AND top.ngram = gf.ngram WHERE top.cnt >= 40) SELECT doc_id FROM f ANTI JOIN shown USING (doc_id)")
 def leftovers(spark, d):
+    """Short messages that none of the most frequent topics has."""
+    df = messages.from_conversations(spark, d).withColumn("toks", F.coalesce(text.simple_tokens("text"), F.array().cast("array<string>")))
+    hit = messages.matches(Q, F.col("toks"))
+    found = topics.extract_topics(lm.foreground(df.where(hit), urls=False), lm.background(df.where(~hit), urls=False), [Q]).where("cnt >= 40")
+    return topics.leftovers(df.where(hit), topics.topic_docs(found, ngrams.postings(df.where(hit), urls=False))).select("doc_id")
+
+
+@query(f"WITH {_T2}, three AS (SELECT n, ngram, ratio FROM top ORDER BY ratio DESC, n DESC, ngram LIMIT 3) SELECT three.n, three.ngram, ratio, string_agg(DISTINCT doc_id::VARCHAR, ' ' ORDER BY doc_id::VARCHAR) AS ids FROM three JOIN gf ON three.n = gf.n AND three.ngram = gf.ngram GROUP BY ALL")
+def facet_preload(spark, d):
     df = _docs(spark, d)
-    fg_docs = df.where((F.col("iso_language_code") == "en") & messages.matches(Q, F.col("toks")))
-    found = topics.extract_topics(*_models(spark, d), [Q])
-    return topics.leftovers(fg_docs, topics.topic_docs(found, ngrams.postings(fg_docs, urls=False))).select("doc_id")
+    hit = (F.col("iso_language_code") == "en") & messages.matches(Q, F.col("toks"))
+    found = _rounded(topics.extract_topics(*_models(spark, d), [Q]))
+    top = topics.preloaded(found, ngrams.postings(df.where(hit), urls=False))
+    return top.select("n", "ngram", "ratio", F.array_join(F.sort_array(F.transform("doc_ids", lambda i: i.cast("string"))), " ").alias("ids"))
 
 
 @query(f"WITH {_CMP['lidstone']} SELECT replace(ngram, ' ', '_') AS ngram, ratio FROM c WHERE n = 3")
@@ -493,8 +514,10 @@ def trigram_report(spark, d):
 
 
 def _search(spark, d):
+    """A search over the whole tokenizer's tokens, against the messages that don't match."""
     corpus = messages.from_documents(spark, d)
-    bg = _models(spark, d)[1]
+    toks = materialize(corpus.withColumn("toks", tokens_of("text")).select("doc_id", "toks"), "tokens")
+    bg = lm.background(toks.where(~F.coalesce(messages.matches(Q, F.col("toks")), F.lit(False))))
     options = QueryOptions(q=Q)
     engine = Engine(corpus, bg)
     return engine, options, engine.search(options)
@@ -514,3 +537,181 @@ def extras_full(spark, d):
 def topics_json(spark, d):
     engine, options, results = _search(spark, d)
     return engine.to_json(results, options)
+
+
+@query()
+def search_response(spark, d):
+    engine, options, results = _search(spark, d)
+    return engine.response(results, options, F.timestamp_seconds(F.lit(1240000000 + 90 * 86400)))
+
+
+@query()
+def drill_down(spark, d):
+    engine, options, results = _search(spark, d)
+    label = results.merged.where("rank = 0").first().label
+    found = engine.search(replace(engine.refined(options, label), pages=1))
+    return found.merged.select("rank", "label", "ratio", F.size("group_ids").alias("group_count"))
+
+
+# ---- more functions of text -------------------------------------------------------------
+
+
+@query(
+    r"""SELECT conv_id, turn, regexp_matches(t, '\^_\^|[:=](|o|O|-)[D)\]]') AS happy, regexp_matches(t, '[:=](|o|O|-)[(\[]') AS sad, regexp_matches(t, ';(|o|O|-)[D)\]]') AS wink,
+    regexp_matches(t, '[:=](|o|O|-)[pP]') AS tongue, regexp_matches(t, '([:=]|;)(|o|O|-)[doO/\\]') AS other FROM (SELECT conv_id, turn, replace(replace(replace(replace(text, '. ', ';-) '), 'e ', ':p '), 'que', '=D'), 'er', ':/') AS t FROM conversations)"""
+)
+def emoticon_kinds(spark, d):
+    t = F.col("text")
+    for a, b in ((". ", ";-) "), ("e ", ":p "), ("que", "=D"), ("er", ":/")):
+        t = F.replace(t, F.lit(a), F.lit(b))
+    return spark.read.parquet(f"{d}/conversations.parquet").select("conv_id", "turn", text.emoticons(t).alias("e")).select("conv_id", "turn", "e.*")
+
+
+@query("SELECT DISTINCT p_name AS name, replace(url_encode(p_name), '%20', '+') AS encoded FROM part")
+def url_encoded(spark, d):
+    return spark.read.parquet(f"{d}/part.parquet").select(F.col("p_name").alias("name"), text.encode_url("p_name").alias("encoded")).distinct()
+
+
+@query("SELECT conv_id, turn, lower(text) AS low FROM conversations")
+def lower_tokens(spark, d):
+    return spark.read.parquet(f"{d}/conversations.parquet").select("conv_id", "turn", F.array_join(text.lower_tokens(F.split("text", " ")), " ").alias("low"))
+
+
+_SAID = "replace(replace(text, 'que ', chr(39) || 's '), 'er ', ' ' || chr(39) || ' t ')"
+
+
+def _said() -> Column:
+    return F.replace(F.replace("text", F.lit("que "), F.lit("'s ")), F.lit("er "), F.lit(" ' t "))
+
+
+@query(f"SELECT conv_id, turn, regexp_replace({_SAID}, '(\\S)(''s)( |$)', '\\1 \\2\\3', 'g') AS split FROM conversations")
+def clitics_split(spark, d):
+    return spark.read.parquet(f"{d}/conversations.parquet").select("conv_id", "turn", text.split_clitics(_said()).alias("split"))
+
+
+@query(f"SELECT conv_id, turn, array_to_string(list_filter(string_split(regexp_replace({_SAID}, '( |^)('') ([stm])( |$)', '\\1\\2\\3\\4', 'g'), ' '), lambda x: x <> ''), ' ') AS joined FROM conversations")
+def clitics_rejoined(spark, d):
+    return spark.read.parquet(f"{d}/conversations.parquet").select("conv_id", "turn", F.array_join(text.rejoin_clitics(F.split(_said(), " ")), " ").alias("joined"))
+
+
+@query("SELECT conv_id, turn, regexp_replace(replace(text, ' de', ' @de'), '@([A-Za-z0-9_]+)', '<a class=\"at\" target=\"_blank\" href=\"http://twitter.com/\\1\">@\\1</a>', 'g') AS html FROM (SELECT * FROM conversations WHERE NOT regexp_matches(text, '@[A-Za-z0-9_]*[^\\x00-\\x7F]| de[a-z0-9]*[^\\x00-\\x7F]'))")
+def mention_links(spark, d):
+    """Over the turns whose mentions are of ASCII letters: SQL's patterns know no others."""
+    said = spark.read.parquet(f"{d}/conversations.parquet").where(~F.rlike("text", F.lit("@[A-Za-z0-9_]*[^\\x00-\\x7F]| de[a-z0-9]*[^\\x00-\\x7F]")))
+    return said.select("conv_id", "turn", text.link_mentions(F.replace("text", F.lit(" de"), F.lit(" @de"))).alias("html"))
+
+
+@query(
+    r"""SELECT DISTINCT p_name AS name, CASE WHEN regexp_matches(p_name, '([a-z]+) ([a-z]+)') THEN regexp_extract(p_name, '([a-z]+) ([a-z]+)', 2) END AS second, array_to_string(regexp_extract_all(p_name, '[aeiou]+'), '|') AS vowels,
+    regexp_replace(p_name, '([a-z])\w*', '\1', 'g') AS initials, regexp_replace(p_name, '([aeiou]+)', '[[\1]]', 'g') AS shown FROM part"""
+)
+def pattern_helpers(spark, d):
+    c = F.col("p_name")
+    columns = [text.matched(c, "([a-z]+) ([a-z]+)", 2).alias("second"), F.array_join(text.all_matched(c, "[aeiou]+"), "|").alias("vowels"), text.replaced(c, r"([a-z])\w*", "$1").alias("initials"), text.shown_matches(c, "[aeiou]+").alias("shown")]
+    return spark.read.parquet(f"{d}/part.parquet").select(c.alias("name"), *columns).distinct()
+
+
+@query("SELECT event_id, agent, CASE WHEN regexp_matches(agent, 'Mobile.*Safari') THEN 10 ELSE 40 END AS max_topics FROM (SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 'Mobile/7A341 Safari/528' WHEN event_id % 3 = 1 THEN 'Safari/528 Mobile' ELSE event_type END AS agent FROM events)")
+def phone_topics(spark, d):
+    agent = F.when(F.col("event_id") % 3 == 0, "Mobile/7A341 Safari/528").when(F.col("event_id") % 3 == 1, "Safari/528 Mobile").otherwise(F.col("event_type"))
+    return spark.read.parquet(f"{d}/events.parquet").select("event_id", agent.alias("agent")).withColumn("max_topics", F.when(text.is_phone("agent"), 10).otherwise(40))
+
+
+@query("SELECT DISTINCT p_name AS query, sha256('q=' || replace(url_encode(p_name), '%20', '+') || '&max_topics=40&format=json') AS key FROM part")
+def cache_keys(spark, d):
+    key = F.concat(F.lit("q="), text.encode_url("p_name"), F.lit("&max_topics=40&format=json"))
+    return spark.read.parquet(f"{d}/part.parquet").select(F.col("p_name").alias("query"), cache.hashed_key(key).alias("key")).distinct()
+
+
+@query("SELECT '<tr><td>' || n_nationkey || '</td><td>' || n_name || '</td></tr>' AS html FROM nation")
+def html_table(spark, d):
+    return rendering.table_html(spark.read.parquet(f"{d}/nation.parquet").select("n_nationkey", "n_name"))
+
+
+@query("SELECT DISTINCT p_name AS label, CASE WHEN p_name = '**EXTRAS**' THEN '' ELSE replace(p_name, ' ', '&nbsp;') END AS phone, chr(27) || '[31m' || chr(27) || '[1m' || p_name || chr(27) || '[0m' AS red FROM part")
+def label_markup(spark, d):
+    return spark.read.parquet(f"{d}/part.parquet").select(F.col("p_name").alias("label"), text.label_html("p_name", True).alias("phone"), text.coloured("p_name", "bold", "red").alias("red")).distinct()
+
+
+# ---- more functions of arrays and sets of messages --------------------------------------
+
+
+@query(
+    f"""SELECT conv_id, turn, array_to_string(list_transform(range(1, len(t) + 1), lambda i: (list_sum(list_transform(gaps[1 : i], lambda g: length(g))) + coalesce(list_sum(list_transform(t[1 : i - 1], lambda x: length(x))), 0))::BIGINT::VARCHAR), ',') AS offsets
+    FROM (SELECT conv_id, turn, {TOK} AS t, regexp_split_to_array(lower(text), '[a-z0-9_@#'']+') AS gaps FROM conversations)"""
+)
+def align_simple(spark, d):
+    at = sequences.align(text.simple_tokens("text"), F.lower("text"))
+    return spark.read.parquet(f"{d}/conversations.parquet").select("conv_id", "turn", F.array_join(F.transform(at, lambda i: i.cast("string")), ",").alias("offsets"))
+
+
+@query(f"SELECT conv_id, turn, array_to_string([t[3], t[1]], ' ') AS picked FROM (SELECT conv_id, turn, {TOK} AS t FROM conversations) WHERE len(t) >= 3")
+def token_subset(spark, d):
+    df = spark.read.parquet(f"{d}/conversations.parquet").withColumn("toks", text.simple_tokens("text")).where(F.size("toks") >= 3)
+    return df.select("conv_id", "turn", F.array_join(text.subset("toks", F.array(F.lit(2), F.lit(0))), " ").alias("picked"))
+
+
+@query(f"SELECT conv_id, turn, array_to_string(flatten([t[1 : 2], t[2 : 3], t[3 : 4]]), ' ') AS flat FROM (SELECT conv_id, turn, {TOK} AS t FROM conversations)")
+def flatten_lists(spark, d):
+    t = text.simple_tokens("text")
+    return spark.read.parquet(f"{d}/conversations.parquet").select("conv_id", "turn", F.array_join(F.flatten(F.array(*[F.slice(t, i, 2) for i in (1, 2, 3)])), " ").alias("flat"))
+
+
+@query("SELECT conv_id, count(*) AS n FROM (SELECT conv_id, CASE WHEN turn % 2 = 0 THEN text END AS asked FROM conversations) WHERE asked IS NOT NULL GROUP BY conv_id")
+def drop_nulls(spark, d):
+    asked = F.when(F.col("turn") % 2 == 0, F.col("text")).alias("asked")
+    return spark.read.parquet(f"{d}/conversations.parquet").select("conv_id", asked).dropna(subset=["asked"]).groupBy("conv_id").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {DOCS} SELECT doc_id FROM d WHERE list_contains(t, '{Q}') ORDER BY doc_id DESC LIMIT 200")
+def search_pages(spark, d):
+    return messages.search(messages.from_documents(spark, d), Q).select("doc_id")
+
+
+@query("SELECT doc_id, source AS from_user FROM documents WHERE lang = 'en'")
+def saved_results(spark, d):
+    path = new_path(spark, "saved")
+    messages.save_results(messages.english(messages.from_documents(spark, d)).select("doc_id", "from_user"), path)
+    return messages.load_results(spark, path)
+
+
+@query(f"WITH {DOCS} SELECT doc_id FROM d WHERE list_contains(t, 'of') INTERSECT SELECT doc_id FROM d WHERE list_contains(t, 'from')")
+def messages_in_both(spark, d):
+    df = _docs(spark, d)
+    one, two = (df.where(F.array_contains("toks", w)) for w in ("of", "from"))
+    return topics.in_both(one, two, df).select("doc_id")
+
+
+@query("SELECT doc_id FROM documents ANTI JOIN labels USING (doc_id)")
+def excluded_ids(spark, d):
+    return topics.excluding(messages.from_documents(spark, d), spark.read.parquet(f"{d}/labels.parquet")).select("doc_id")
+
+
+@query(
+    f"""WITH s AS (SELECT conv_id AS topic, turn AS doc_id, list_distinct(list_concat(t, list_transform(range(1, len(t)), lambda i: t[i] || ' ' || t[i + 1]))) AS g FROM (SELECT conv_id, turn, {TOK} AS t FROM conversations)),
+    small AS (SELECT topic FROM s GROUP BY 1 HAVING count(*) <= 100)
+    SELECT a.topic, a.doc_id AS a, b.doc_id AS b, round(2 * len(list_intersect(a.g, b.g))::DOUBLE / (len(a.g) + len(b.g)), 9) AS dice FROM s a JOIN s b ON a.topic = b.topic AND a.doc_id < b.doc_id SEMI JOIN small ON a.topic = small.topic WHERE len(a.g) + len(b.g) > 0"""
+)
+def pair_report(spark, d):
+    t = text.simple_tokens("text")
+    rows = spark.read.parquet(f"{d}/conversations.parquet").select("conv_id", "turn", F.array_distinct(F.concat(t, sequences.ngrams(t, 2))).alias("grams"))
+    rows = rows.select(F.col("conv_id").alias("topic"), (F.col("conv_id") * 100_000 + F.col("turn")).alias("doc_id"), "grams")
+    found = topics.pair_report(rows.select("topic", "doc_id"), rows.select("doc_id", "grams")).where("dice is not null")
+    turn = lambda c: (F.col(c) - F.col("topic") * 100_000).alias(c)
+    return found.select("topic", turn("a"), turn("b"), F.round("dice", 9).alias("dice"))
+
+
+@query(f"WITH {DOCS}, {_all()} SELECT n, ngram, count(*) AS cnt FROM g GROUP BY ALL")
+def incremental_counts(spark, d):
+    """The counts of two batches, stored one after the other, one of them twice."""
+    df, folder = _docs(spark, d), new_path(spark, "counts")
+    for epoch in (0, 1, 1):
+        counts.add_counts(spark, ngrams.occurrences(df.where(F.col("doc_id") % 2 == epoch), keep=(), urls=False), folder, epoch)
+    return counts.stored_counts(spark, folder)
+
+
+@query(f"SELECT conv_id, turn, array_to_string(list_transform(range(1, len(t)), lambda i: t[i] || ' ' || t[i + 1]), '|') AS grams FROM (SELECT conv_id, turn, {TOK} AS t FROM conversations)")
+def sql_functions_ngrams(spark, d):
+    sql_functions.register(spark)
+    spark.read.parquet(f"{d}/conversations.parquet").createOrReplaceTempView("fl_turns")
+    return spark.sql("SELECT conv_id, turn, array_join(fl_ngrams(fl_simple_tokens(text), 2), '|') AS grams FROM fl_turns")

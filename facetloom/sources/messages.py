@@ -67,6 +67,15 @@ def write_csv(df: DataFrame, path: str) -> None:
     df.select(*sorted(df.columns)).write.mode("overwrite").option("header", True).csv(path)
 
 
+def save_results(df: DataFrame, path: str) -> None:
+    """A search's messages, to be read again instead of searching."""
+    df.write.mode("overwrite").parquet(path)
+
+
+def load_results(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path)
+
+
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
     """One message a line, for background corpora."""
     return spark.read.text(path).withColumnRenamed("value", "text")
@@ -78,6 +87,12 @@ def from_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", "text", F.timestamp_seconds(F.col("doc_id") + 1240000000).alias("created_at"), F.col("source").alias("from_user"), F.col("lang").alias("iso_language_code"))
 
 
+def from_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table conversations as messages: short texts, all taken as English."""
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").withColumn("doc_id", F.col("conv_id") * 1000 + F.col("turn"))
+    return turns.select("doc_id", "text", F.timestamp_seconds(F.col("doc_id") + 1240000000).alias("created_at"), F.col("role").alias("from_user"), F.lit("en").alias("iso_language_code"))
+
+
 def english(df: DataFrame) -> DataFrame:
     return df.where(F.col("iso_language_code") == "en")
 

@@ -64,13 +64,13 @@ def test_guards_change_nothing(spark):
     pieces = "a b x. A. 1 12 345 , . ' 's - -- : ; ;p =o http:// www. .com .co.uk .org &amp; é ♫ ? ! < ( / www _ 3:4 5.6".split() + [" ", " "]
     texts = ["".join(rng.choice(pieces) for _ in range(rng.randrange(1, 14))) for _ in range(6000)]
     guards = [text._DIGITS, text._CHAIN, r"(?:(?<![a-z0-9.-])|\G|(?=[.-])|(?<=(?<![a-z0-9])-))", r"(?:(?<!\S)|\G)"]
-    plain = text._PROTECT
+    plain = text.PROTECT
     for g in guards:
         assert g in plain
         plain = plain.replace(g, "")
     plain = plain.replace(r"\S[^\s']*+'\S++", r"\S+'\S+").replace("++", "+").replace(r"{2,}+", "{2,}")
     mark = lambda p: F.regexp_replace("t", p, "[$0]")
-    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", mark(text._PROTECT).alias("a"), mark(plain).alias("b")).where("a <> b").collect()
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", mark(text.PROTECT).alias("a"), mark(plain).alias("b")).where("a <> b").collect()
     assert rows == []
 
 
@@ -84,6 +84,23 @@ def test_clitics_and_characters(spark):
     assert (kinds.happy, kinds.wink, kinds.tongue, kinds.sad, kinds.other) == (False, True, True, False, False)
 
 
+def test_sql_functions(spark):
+    from facetloom.plans import sql_functions
+
+    assert len(sql_functions.register(spark)) == 5
+    s = "it's (so) good!! see http://a.b/c. x :)"
+    spark.createDataFrame([(s,)], "s string").createOrReplaceTempView("said")
+    r = spark.sql("select fl_tokenize(s) a, fl_ngrams(fl_simple_tokens('a b c'), 2) b, fl_jaccard(array('x'), array('x', 'y')) c, fl_ngrams(array('x'), 2) d from said").first()
+    assert (r.a, r.b, r.c, r.d) == (one(spark, text.tokenize("t"), t=s), ["a b", "b c"], 0.5, [])
+
+
+def test_labels_on_pages(spark):
+    assert [one(spark, text.label_html("t", p), t=t) for t, p in (("a <b>", False), ("a b", True), ("**EXTRAS**", False), ("**EXTRAS**", True))] == ["a &lt;b&gt;", "a&nbsp;b", "<i>more...</i>", ""]
+    assert one(spark, text.coloured("t", "bold", "red"), t="x") == "\x1b[31m\x1b[1mx\x1b[0m"
+    with pytest.raises(ValueError):
+        text.coloured("t")
+
+
 def test_patterns(spark):
     assert [one(spark, text.matched("t", "(b)(c)", 2), t=t) for t in ("abcd", "x")] == ["c", None]
     assert one(spark, text.all_matched("t", "[0-9]+"), t="a1b22") == ["1", "22"]
