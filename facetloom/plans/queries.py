@@ -476,13 +476,7 @@ def singleton_topic_filter(spark, d):
     return topics.topic_counts(_topic_members(spark, d)[2]).where("group_count > 1").select("n", "ngram")
 
 
-@query(
-    f"""{_MEMBERS}, tg AS MATERIALIZED (SELECT DISTINCT n || '|' || ngram AS k, group_id FROM mem), tz AS (SELECT k, count(*) AS size FROM tg GROUP BY 1),
-tp AS MATERIALIZED (SELECT a.k AS u, b.k AS v FROM tg a JOIN tg b ON a.group_id = b.group_id JOIN tz x ON x.k = a.k JOIN tz y ON y.k = b.k WHERE x.size >= 0.9 * y.size AND y.size >= 0.9 * x.size
-       GROUP BY a.k, b.k, x.size, y.size HAVING count(*) >= 0.9 * (x.size + y.size - count(*)) - 1e-9),
-tr AS (SELECT u, v FROM tp UNION SELECT tr.u, tp.v FROM tr JOIN tp ON tr.v = tp.u)
-SELECT DISTINCT n, ngram, topic_id FROM mem JOIN (SELECT u, min(v) AS topic_id FROM tr GROUP BY u) ON u = n || '|' || ngram"""
-)
+@query()
 def topic_merge_components(spark, d):
     return topics.merge_components(materialize(_topic_members(spark, d)[2], "members"))
 
