@@ -533,12 +533,6 @@ def topics_json(spark, d):
     return engine.to_json(results, options)
 
 
-@query()
-def search_response(spark, d):
-    engine, options, results = _search(spark, d)
-    return engine.response(results, options, F.timestamp_seconds(F.lit(1240000000 + 90 * 86400)))
-
-
 @query()
 def drill_down(spark, d):
     engine, options, results = _search(spark, d)
