@@ -8,19 +8,33 @@ from pyspark.sql import functions as F
 from facetloom.shared import materialize
 
 
+#: Parts that the rows of one node are dealt over, so that the centre of a star is no single task.
+SALTS = 64
+
+
+def with_least(df: DataFrame, key: str, value: str, name: str, salts: int = SALTS) -> DataFrame:
+    """``df`` and ``name``, the least ``value`` of all rows with the row's ``key``.
+
+    A key's rows are dealt over ``salts`` parts: each part is aggregated, a key's parts
+    (``salts`` at most) meet, and the result goes back to each part. Rows without a key go.
+    """
+    dealt = df.withColumn("__salt", F.pmod(F.xxhash64(value), F.lit(salts)))
+    least = dealt.groupBy(key, "__salt").agg(F.min(value).alias(name))
+    least = least.groupBy(key).agg(F.min(name).alias(name), F.collect_list("__salt").alias("__salts"))
+    return dealt.join(least.select(key, name, F.explode("__salts").alias("__salt")), [key, "__salt"]).drop("__salt")
+
+
 def _large_star(edges: DataFrame) -> DataFrame:
     """Every larger neighbour of a node is linked to the node's least neighbour."""
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    near = with_least(both, "u", "v", "m").where("v > u")
+    return near.select(F.col("v").alias("u"), F.least("u", "m").alias("v"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """A node and its smaller neighbours are linked to the least of them."""
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = down.groupBy("u").agg(F.min("v").alias("m"))
-    moved = down.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return moved.unionByName(least.select("u", F.col("m").alias("v")))
+    return with_least(down, "u", "v", "m").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
 
 
 def connected_components(edges: DataFrame, rounds: int = 50) -> DataFrame:

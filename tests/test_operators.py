@@ -1,12 +1,13 @@
 """The library's own operators on small cases."""
 
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from facetloom.functions import sequences, text
 from facetloom.operators import dedupe, neardup, ngrams, topics
 from facetloom.operators import language_model as lm
-from facetloom.operators.components import connected_components
+from facetloom.operators.components import connected_components, with_least
 from facetloom.plans import cache
 from facetloom.plans.engine import QueryOptions
 from facetloom.sources import messages
@@ -153,6 +154,19 @@ def test_components(spark):
     assert got == {**{i: 0 for i in range(31)}, 40: 40, 45: 40, 50: 40}
 
 
+def test_least_of_a_hot_key(spark):
+    rows = [("hot", (i * 37) % 1000) for i in range(1000)] + [("one", 5), ("two", 9), ("two", 9), ("two", 4), (None, 1), ("none", None)]
+    got = with_least(spark.createDataFrame(rows, "k string, v long"), "k", "v", "m", salts=7).collect()
+    least = {"hot": 0, "one": 5, "two": 4, "none": None}
+    assert sorted(map(str, got)) == sorted(str(Row(k=k, v=v, m=least[k])) for k, v in rows if k is not None)
+
+
+def test_star_centre_is_dealt_over_parts(spark):
+    edges = [(0, i) for i in range(1, 500)] + [(1000, i) for i in range(1001, 1100)] + [(1099, 1100)]
+    got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {i: 0 for i in range(500)} | {i: 1000 for i in range(1000, 1101)}
+
+
 def test_similarity_join(spark):
     import random
 
