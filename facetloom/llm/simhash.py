@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from facetloom.llm.common import map_arrow, table, utf8
-from facetloom.operators.components import connected_components
+from facetloom.operators.components import SALTS, connected_components, with_least
 from facetloom.shared import materialize
 
 SHINGLE, SEED = 4, 42
@@ -193,14 +193,16 @@ def components(docs: DataFrame, keep: list[str], shingle: int = SHINGLE) -> Data
     order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("__row").alias("row"))
     columns = list(dict.fromkeys(["doc_id", *keep, "text"]))
     rows = fingerprints(docs.select(*columns), shingle).select(*dict.fromkeys(["doc_id", *keep]), "fp", F.monotonically_increasing_id().alias("__row"))
-    rows = materialize(rows, "fingerprints")
-    fps = materialize(rows.groupBy("fp").agg(F.min(order).alias("least")), "distinct-fingerprints")
+    rows = materialize(rows.withColumn("__salt", F.pmod(F.xxhash64("__row"), F.lit(SALTS))), "fingerprints")
+    # the rows of one fingerprint are dealt over SALTS parts, here and where they get their component
+    dealt = rows.groupBy("fp", "__salt").agg(F.min(order).alias("least"))
+    fps = materialize(dealt.groupBy("fp").agg(F.min("least").alias("least"), F.collect_list("__salt").alias("__salts")), "distinct-fingerprints")
     label = connected_components(link_edges(fps.select("fp")))
-    named = fps.join(label.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
+    named = fps.join(label.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", "__salts", F.coalesce("component", "fp").alias("component"))
     named = materialize(named, "labels")
-    best = named.groupBy("component").agg(F.min("least").alias("least"))
-    found = named.select("fp", "component").join(best, "component").select("fp", F.col("least.id").alias("component_id"), F.col("least.row").alias("__first"))
-    return rows.join(found, "fp").select(*keep, "fp", "component_id", (F.col("__row") == F.col("__first")).alias("first"))
+    found = with_least(named, "component", "least", "best")
+    found = found.select("fp", F.explode("__salts").alias("__salt"), F.col("best.id").alias("component_id"), F.col("best.row").alias("__first"))
+    return rows.join(found, ["fp", "__salt"]).select(*keep, "fp", "component_id", (F.col("__row") == F.col("__first")).alias("first"))
 
 
 def op2_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
