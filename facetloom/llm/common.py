@@ -114,16 +114,23 @@ def map_array(uri: str, dtype: str) -> np.ndarray:
 
 
 def pack_sorted(keys: np.ndarray, counts: np.ndarray) -> tuple[bytes, bytes]:
-    """Sorted uint64 keys as differences, four bytes each where they fit, and their counts."""
-    gaps = np.diff(keys, prepend=np.uint64(0))
-    wide = bool(len(gaps)) and int(gaps.max()) >> 32 > 0
+    """Sorted uint64 keys as the first and the differences, of as few bytes as the largest needs, and their counts."""
     small = not len(counts) or int(counts.max()) < 256
-    return b"\x01" * wide + b"\x00" * (not wide) + gaps.astype("<u8" if wide else "<u4").tobytes(), b"\x00" * small + b"\x01" * (not small) + counts.astype("u1" if small else "<u8").tobytes()
+    packed = b"\x00" * small + b"\x01" * (not small) + counts.astype("u1" if small else "<u8").tobytes()
+    if not len(keys):
+        return b"", packed
+    gaps = np.diff(keys)
+    width = (int(gaps.max()).bit_length() + 7) // 8 if len(gaps) else 0
+    return bytes([width]) + keys[:1].astype("<u8").tobytes() + gaps.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].tobytes(), packed
 
 
 def unpack_sorted(keys: bytes, counts: bytes) -> tuple[np.ndarray, np.ndarray]:
-    gaps = np.frombuffer(keys, dtype="<u8" if keys[0] else "<u4", offset=1).astype(np.uint64)
-    return np.cumsum(gaps, dtype=np.uint64), np.frombuffer(counts, dtype="<u8" if counts[0] else "u1", offset=1).astype(np.int64)
+    n = np.frombuffer(counts, dtype="<u8" if counts[0] else "u1", offset=1).astype(np.int64)
+    gaps = np.zeros((len(n), 8), dtype=np.uint8)
+    if len(n):
+        gaps[0] = np.frombuffer(keys, dtype=np.uint8, count=8, offset=1)
+        gaps[1:, : keys[0]] = np.frombuffer(keys, dtype=np.uint8, offset=9).reshape(len(n) - 1, keys[0])
+    return np.cumsum(gaps.view("<u8").ravel(), dtype=np.uint64), n
 
 
 def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -15,8 +15,11 @@ everything and take no further part.
    block already covers is settled there, the rest is exchanged as front-coded runs.
 3. A bucket's runs are merged by a loser tree that keeps, for each contender, the prefix it
    shares with the last winner, and compares bytes beyond known prefixes only.
-4. In a bucket, every string around an anchor is looked up among the entries; whatever a
-   smaller document has is covered, checked byte by byte.
+4. What is covered follows from the shared prefixes alone. Two entries have the string that
+   begins j bytes before their anchors in common if they share LENGTH - j bytes from the
+   anchor on and j bytes before it. The merged order gives the first as runs between shorter
+   shared prefixes, for every j; the same runs over the bytes before the anchors, in order,
+   give the second. In each pair of runs, all but the least document's strings are covered.
 
 A passage that a third of all documents have costs one entry for each block. All steps
 hold a block, a bucket or a document at a time; nothing is gathered on the driver.
@@ -39,15 +42,19 @@ from pyspark.sql import functions as F
 
 from facetloom.llm.common import blocks, map_arrow, pack_sorted, parts, table, unpack_sorted, utf8
 from facetloom.llm.decontamination import runs as runs_of
+from facetloom.operators.components import with_least
 
 LENGTH, ANCHOR = 50, 20
 SIDE = LENGTH - ANCHOR
 ENTRY = LENGTH + SIDE
-#: Bits of an anchor's hash; anchors that collide are told apart by their bytes in step 4.
+#: Bits of a hash that an anchor is chosen by, the rest is its place; all 64 bits are exchanged.
+#: Anchors that collide are told apart by their bytes.
 BITS = 40
 PART = 1 << 20
 #: Texts hashed at once, texts whose anchors are sorted at once, and text for one bucket.
 STEP, BLOCK, BUCKET = 1 << 18, 2 << 20, 1 << 20
+#: Parts that the rows of one digest are dealt over, and buckets for each part beyond that.
+SALTS = 64
 #: Where rows with a null doc_id begin in the order.
 LAST = 1 << 62
 
@@ -75,10 +82,9 @@ def _anchors(data: bytes, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     h ^= h >> np.uint64(31)
     h += np.ndarray((m,), "<u4", data, 16, (1,)) * _MIX[2]
     h *= _MIX[3]
-    h >>= np.uint64(64 - BITS)
-    h <<= np.uint64(24)
-    h |= np.arange(m, dtype=np.uint64)
-    low = h
+    low = h >> np.uint64(64 - BITS)
+    low <<= np.uint64(24)
+    low |= np.arange(m, dtype=np.uint64)
     for width in (1, 2, 4, 8):
         low = np.minimum(low[:-width], low[width:])
     span = SIDE + 1 - 16
@@ -90,7 +96,8 @@ def _anchors(data: bytes, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     if not len(found):
         return (np.empty(0, dtype=np.int64), np.empty(0, dtype=np.uint64))
     found = found[np.concatenate(([True], found[1:] != found[:-1]))]
-    return (found & np.uint64((1 << 24) - 1)).astype(np.int64), found >> np.uint64(24)
+    place = (found & np.uint64((1 << 24) - 1)).astype(np.int64)
+    return place, h[place]
 
 
 def anchors(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -105,7 +112,7 @@ def anchors(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _bucket(h: np.ndarray, n: int) -> np.ndarray:
-    return (h * np.uint64(n) >> np.uint64(BITS)).astype(np.int64)
+    return ((h >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)).astype(np.int64)
 
 
 def _first_of_runs(*keys: np.ndarray) -> np.ndarray:
@@ -286,51 +293,37 @@ def merged(runs: list[tuple[list[bytes], bytes]], width: int) -> tuple[list[tupl
     return order, shared
 
 
-def covered(entries: np.ndarray, left: np.ndarray, right: np.ndarray, doc: np.ndarray) -> np.ndarray:
-    """[rows, SIDE + 1]: whether the string that begins j bytes before the anchor is also in a row with a smaller document."""
-    n = len(entries)
+def runs_at(shared: np.ndarray, depth: int) -> np.ndarray:
+    """Numbers of the runs in sorted order within which strings share ``depth`` bytes; ``shared`` is the prefix that each shares with the one before."""
+    return np.cumsum(shared < depth)
+
+
+def sorted_prefixes(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order of rows of bytes, and the prefix that each shares with the one before in that order."""
+    order = np.argsort(np.ascontiguousarray(rows).view(f"S{rows.shape[1]}").ravel(), kind="stable")
+    return order, np.frombuffer(front_coded(rows[order])[0], dtype=np.uint8)
+
+
+def covered(shared: np.ndarray, before: np.ndarray, left: np.ndarray, right: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """[rows, SIDE + 1]: whether the string that begins j bytes before the anchor is also in a
+    row with a smaller document. Rows are in merged order: ``shared`` is the prefix that each
+    shares with the one before, ``before`` the bytes before its anchor in reverse, ``left`` and
+    ``right`` how many bytes the text has there."""
+    n = len(shared)
     out = np.zeros((n, SIDE + 1), dtype=bool)
-    heads, tails = np.empty((SIDE + 1, n), dtype=np.uint64), np.empty((SIDE + 1, n), dtype=np.uint64)
-    h = np.full(n, 1, dtype=np.uint64)
-    for m in range(LENGTH):
-        h = (h ^ entries[:, SIDE + m]) * _MIX[0]
-        h ^= h >> np.uint64(29)
-        if m + 1 >= ANCHOR:
-            heads[m + 1 - ANCHOR] = h  # of the first m + 1 bytes from the anchor
-    h = np.full(n, 2, dtype=np.uint64)
-    tails[0] = h
-    for j in range(1, SIDE + 1):
-        h = (h ^ entries[:, SIDE - j]) * _MIX[1]
-        h ^= h >> np.uint64(29)
-        tails[j] = h
+    back, back_shared = sorted_prefixes(before)
+    of_back = np.empty(n, dtype=np.int64)
     for j in range(SIDE + 1):
         rows = np.flatnonzero((left >= j) & (right >= LENGTH - j))
         if len(rows) < 2:
             continue
-        key = (heads[SIDE - j, rows] ^ tails[j, rows] * _MIX[2]) * _MIX[3]
-        order = np.argsort(key, kind="stable")
+        of_back[back] = runs_at(back_shared, j)
+        key = runs_at(shared, LENGTH - j)[rows] * np.int64(n + 1) + of_back[rows]
+        order = np.argsort(key, kind="stable")  # nearly in order already
         rows, key = rows[order], key[order]
         first = _first_of_runs(key)
-        size = np.diff(np.append(first, len(key)))
-        many = np.repeat(size > 1, size)
-        if not many.any():
-            continue
-        rows, size = rows[many], size[size > 1]
-        first = np.cumsum(size) - size
-        # the row of the least document of each run
-        least = np.minimum.reduceat(doc[rows], first)
-        is_least = np.flatnonzero(doc[rows] == np.repeat(least, size))
-        which = is_least[np.searchsorted(is_least, first)]
-        model = np.repeat(rows[which], size)
-        later = doc[rows] > np.repeat(least, size)
-        rows, model = rows[later], model[later]
-        same = (entries[rows, SIDE - j : ENTRY - j] == entries[model, SIDE - j : ENTRY - j]).all(axis=1)
-        out[rows[same], j] = True
-        # strings of one hash that differ are looked up by their bytes
-        for r in rows[~same].tolist():
-            s = entries[r, SIDE - j : ENTRY - j]
-            alike = np.flatnonzero((left >= j) & (right >= LENGTH - j) & (doc < doc[r]))
-            out[r, j] = bool((entries[alike, SIDE - j : ENTRY - j] == s).all(axis=1).any())
+        least = np.repeat(np.minimum.reduceat(doc[rows], first), np.diff(np.append(first, len(key))))
+        out[rows[doc[rows] > least], j] = True
     return out
 
 
@@ -401,14 +394,13 @@ def covered_spans(found: DataFrame, buckets: int) -> DataFrame:
             base = np.cumsum([0, *[len(c[0]) for c in columns]])
             flat = np.asarray([base[r] + i for r, i in order])
             doc, row, place = (np.concatenate(x)[flat] for x in zip(*columns, strict=True))
-            # an anchor that one entry has is nothing to look up
-            anchor = np.cumsum(lcp < ANCHOR)
+            # an anchor that one entry has covers nothing; whole runs go, so what is left keeps its shared prefixes
+            anchor = runs_at(lcp, ANCHOR)
             size = np.bincount(anchor)
             busy = np.flatnonzero(size[anchor] > 1)
-            text = np.frombuffer(b"".join(runs[r][0][i] for r, i in (order[x] for x in busy.tolist())), dtype=np.uint8).reshape(-1, ENTRY + 2)
+            tails = np.frombuffer(b"".join(runs[r][0][i][LENGTH:] for r, i in (order[x] for x in busy.tolist())), dtype=np.uint8).reshape(-1, SIDE + 2)
             doc, row, place = doc[busy], row[busy], place[busy]
-            entries = np.concatenate((text[:, ENTRY - 1 : LENGTH - 1 : -1], text[:, :LENGTH]), axis=1)
-            cover = covered(entries, text[:, ENTRY].astype(np.int64), text[:, ENTRY + 1].astype(np.int64), doc)
+            cover = covered(lcp[busy], tails[:, :SIDE], tails[:, SIDE].astype(np.int64), tails[:, SIDE + 1].astype(np.int64), doc)
             at, spans = spans_of(place, cover)
             for x, v in zip(out, _grouped(spans.astype("<i8"), doc[at], row[at]), strict=True):
                 x += v
@@ -437,9 +429,9 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     own = docs.select(F.coalesce(F.col("doc_id").cast("long"), nameless).alias("doc"), "text", row.alias("row"))
     size = own.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(8, -(-size // BUCKET))
-    digests = own.select("doc", "row", F.md5(F.col("text").cast("binary")).alias("digest"))
-    first = digests.groupBy("digest").agg(F.min("doc").alias("first"))
-    copies = digests.join(first, "digest").where("doc > first").groupBy("doc").agg(F.collect_set("row").alias("copies"))
+    digests = own.select("doc", "row", F.unhex(F.md5(F.col("text").cast("binary"))).alias("digest"))
+    first = with_least(digests, "digest", "doc", "first", max(SALTS, buckets // SALTS))
+    copies = first.where("doc > first").groupBy("doc").agg(F.collect_set("row").alias("copies"))
     # the texts are exchanged once, by document, for all three uses of them
     own = own.join(copies, "doc", "left").withColumn("copy", F.coalesce(F.array_contains("copies", F.col("row")), F.lit(False))).drop("copies")
     lone = own.where("not copy")

@@ -8,6 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from facetloom.llm import suffix_dedup
+from facetloom.llm.common import pack_sorted, unpack_sorted
 from facetloom.llm.suffix_dedup import op8_suffix_dedup
 
 
@@ -97,5 +98,37 @@ def test_loser_tree(lists):
         assert n == next((i for i in range(4) if a[i] != b[i]), 4)
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(0, 2**64 - 1), max_size=20, unique=True), st.integers(1, 1000))
+def test_packed_keys(keys, most):
+    keys = np.sort(np.asarray(keys, dtype=np.uint64))
+    counts = np.arange(len(keys), dtype=np.int64) % most + 1
+    for part in (slice(None), slice(0, 1), slice(0, 0)):
+        got = unpack_sorted(*pack_sorted(keys[part], counts[part]))
+        assert np.array_equal(got[0], keys[part]) and np.array_equal(got[1], counts[part])
+
+
+def test_coverage_from_shared_prefixes():
+    side, length = suffix_dedup.SIDE, suffix_dedup.LENGTH
+    for seed in range(20):
+        rng = np.random.default_rng(seed)
+        texts = [bytes(rng.integers(0, 2, int(rng.integers(60, 120)), dtype=np.uint8)) for _ in range(12)]
+        base = bytes(rng.integers(0, 2, 90, dtype=np.uint8))
+        texts += [bytes(c if rng.random() > 0.02 else 1 - c for c in base)[int(rng.integers(0, 20)) :] for _ in range(20)]
+        of, place, _ = suffix_dedup.anchors(texts)
+        rows = suffix_dedup.entries_of(texts, of, place)
+        doc = np.asarray([int(i) // 2 for i in of])
+        rows, doc = (x[np.lexsort(rows.T[::-1])] for x in (rows, doc))
+        shared = np.frombuffer(suffix_dedup.front_coded(rows)[0], dtype=np.uint8).astype(np.int64)
+        left, right = rows[:, -2].astype(np.int64), rows[:, -1].astype(np.int64)
+        got = suffix_dedup.covered(shared, rows[:, length:-2], left, right, doc)
+        whole = np.concatenate((rows[:, length:-2][:, ::-1], rows[:, :length]), axis=1)
+        for j in range(side + 1):
+            fits = [i for i in range(len(rows)) if left[i] >= j and right[i] >= length - j]
+            strings = {i: whole[i, side - j : side - j + length].tobytes() for i in fits}
+            for i in range(len(rows)):
+                assert got[i, j] == (i in strings and any(strings[i] == strings[k] and doc[k] < doc[i] for k in fits))
+
+
 def test_empty(spark, empty_dir):
     assert op8_suffix_dedup(spark, empty_dir).collect() == []
