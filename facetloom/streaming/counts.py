@@ -21,8 +21,12 @@ def windowed_counts(stream: DataFrame, tokens: str = "toks", time: str = "create
 
 
 def add_counts(spark: SparkSession, batch: DataFrame, folder: str, epoch: int) -> None:
-    """Write a batch's counts beside the earlier ones; a batch that is run twice is written once."""
-    batch.groupBy("n", "ngram").agg(F.count("*").alias("cnt")).write.mode("overwrite").parquet(f"{folder}/epoch={epoch}")
+    """Write a batch's counts beside the earlier ones; a batch that is run twice is written once.
+
+    The batch has rows (n, ngram), and ``times`` where they stand for several.
+    """
+    times = F.sum("times") if "times" in batch.columns else F.count("*")
+    batch.repartition("n", "ngram").groupBy("n", "ngram").agg(times.alias("cnt")).write.mode("overwrite").parquet(f"{folder}/epoch={epoch}")
 
 
 def stored_counts(spark: SparkSession, folder: str) -> DataFrame:
@@ -31,6 +35,6 @@ def stored_counts(spark: SparkSession, folder: str) -> DataFrame:
 
 def accumulate(stream: DataFrame, folder: str, checkpoint: str, tokens: str = "toks", urls: bool = True, every: str | None = None) -> StreamingQuery:
     """Counts of each micro-batch as a folder of partial sums; without ``every`` it ends when all is read."""
-    grams = occurrences(stream, tokens, (), urls)
+    grams = occurrences(stream, tokens, (), urls, summed=True)
     write = grams.writeStream.foreachBatch(lambda df, epoch: add_counts(df.sparkSession, df, folder, epoch)).option("checkpointLocation", checkpoint)
     return write.trigger(processingTime=every).start() if every else write.trigger(availableNow=True).start()

@@ -118,6 +118,39 @@ def test_ngram_filters(spark):
     assert get(["a"], 3) == []
 
 
+def test_workers_count_as_columns_do(spark, monkeypatch):
+    """N-grams counted by blocks of messages against the filters as columns."""
+    import random
+    from collections import Counter
+
+    rng = random.Random(5)
+    pieces = "big dog the of a @a @b #x ~ ' \" ( i you , . &amp; www.zoo.org/x a.com/ \u00e9 it's".split()
+    said = [(i // 2 if i < 20 else i, [rng.choice(pieces) for _ in range(rng.randrange(12))]) for i in range(120)]
+    df = spark.createDataFrame([*said, (None, ["big", "dog"]), (500, None)], "doc_id long, toks array<string>").repartition(2)
+    for urls in (True, False):
+        want = {}
+        for n in (1, 2, 3):
+            for doc, grams in df.select("doc_id", ngrams.filtered("toks", n, urls)).collect():
+                for g in grams or ():
+                    want.setdefault((n, g), []).append(doc)
+        got = {(r.n, r.ngram): (r.cnt, r.docs) for r in ngrams.counted(df, (1, 2, 3), urls=urls).collect()}
+        assert got == {k: (len(v), len(set(v) - {None})) for k, v in want.items()}
+        assert Counter((r.n, r.ngram, r.doc_id) for r in ngrams.occurrences(df, urls=urls).collect()) == Counter((*k, d) for k, v in want.items() for d in v)
+        first = {}
+        for (n, g), v in want.items():
+            if n == 2:
+                a, b = first.setdefault(g.split(" ")[0], (set(), set()))
+                a.add(g), b.update(set(v) - {None})
+        assert {r["first"]: (r.followers, r.docs) for r in ngrams.followers(df, urls=urls).collect()} == {k: (len(a), len(b)) for k, (a, b) in first.items()}
+
+
+def test_blocks_of_messages_are_summed(spark):
+    """A block's repeats are one row; the columns before gave a row for each."""
+    df = spark.createDataFrame([(i, ["big", "dog"]) for i in range(50)], "doc_id long, toks array<string>").coalesce(1)
+    rows = ngrams.occurrences(df, keep=(), summed=True, totals=True).collect()
+    assert sorted((r.n, r.ngram, r.times) for r in rows) == [(0, "", 100), (1, "big", 50), (1, "dog", 50), (2, "big dog", 50)]
+
+
 def test_highlight(spark):
     x = sequences.highlight("t", "s", [(["to", "buy"], "[[", "]]"), (["buy", "sun"], "{{", "}}")])
     assert one(spark, x, t=["to", "buy", "sun"], s="to buy sun") == "[[to {{buy]] sun}}"
