@@ -10,6 +10,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from facetloom.shared import map_array, write_array  # noqa: F401
+
 #: Rows and bytes that an operator is given at once; a batch of one row may have more.
 BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
 #: Bytes of text that an operator holds at once; longer batches are worked on in parts.
@@ -81,38 +83,6 @@ def remainder(key: str, divisor: int) -> Column:
     return F.crc32(F.col(key).cast("string").cast("binary")) % divisor
 
 
-def write_array(uri: str, array: np.ndarray) -> None:
-    """Write an array to the shared folder: under another name first, so that a task that is run twice leaves one whole file."""
-    import os
-    import uuid
-
-    from pyarrow import fs
-
-    store, path = fs.FileSystem.from_uri(uri)
-    store.create_dir(os.path.dirname(path))
-    part = f"{path}.{uuid.uuid4().hex}"
-    with store.open_output_stream(part) as out:
-        out.write(np.ascontiguousarray(array).view(np.uint8).data)
-    store.move(part, path)
-
-
-def map_array(uri: str, dtype: str) -> np.ndarray:
-    """A memory-mapped array of the shared folder; what a store without files has is fetched
-    into a file without a name, which goes when its mapping does."""
-    import os
-    import tempfile
-
-    from pyarrow import fs
-
-    store, path = fs.FileSystem.from_uri(uri)
-    if isinstance(store, fs.LocalFileSystem):
-        return np.memmap(path, dtype=dtype, mode="r") if os.path.getsize(path) else np.empty(0, dtype=dtype)
-    with tempfile.TemporaryFile() as own, store.open_input_stream(path) as source:
-        while chunk := source.read(1 << 20):
-            own.write(chunk)
-        return np.memmap(own, dtype=dtype, mode="r") if own.tell() else np.empty(0, dtype=dtype)
-
-
 def pack_sorted(keys: np.ndarray, counts: np.ndarray) -> tuple[bytes, bytes]:
     """Sorted uint64 keys as the first and the differences, of as few bytes as the largest needs, and their counts."""
     small = not len(counts) or int(counts.max()) < 256

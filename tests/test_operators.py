@@ -216,6 +216,23 @@ def test_similarity_join(spark):
     assert {r.doc_id: r.n_links for r in neardup.neardup_links(docs, df).collect()} == links
 
 
+def test_messages_link_as_sets_of_trigrams_do(spark, monkeypatch):
+    """By files of hashes, without an exchange of trigrams, as by rows (doc_id, ngram)."""
+    import random
+
+    rng = random.Random(8)
+    base = [[f"w{rng.randrange(60)}" for _ in range(30)] for _ in range(4)]
+    said = [(i, [w if rng.random() > 0.06 else f"w{rng.randrange(60)}" for w in base[i % 4]]) for i in range(60)]
+    said += [(i + 100, said[i][1]) for i in range(5)] + [(200, []), (201, None), (202, ["one", "two", "three"])]
+    df = spark.createDataFrame(said, "doc_id long, toks array<string>").repartition(3)
+    trigrams = ngrams.postings(df, urls=False, orders=(3,)).select("doc_id", "ngram")
+    exchanged = neardup.stored_sets(df, neardup.new_path(spark, "sets"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in exchanged and "Generate" not in exchanged
+    links = {r.doc_id: r.n_links for r in neardup.message_links(df).collect()}
+    assert links == {r.doc_id: r.n_links for r in neardup.neardup_links(df, trigrams).collect()} and max(links.values()) > 2
+    assert sorted(neardup.message_groups(df).collect()) == sorted(neardup.neardup_groups(df, trigrams).collect())
+
+
 def test_merge_components(spark):
     import random
 
