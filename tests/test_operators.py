@@ -151,6 +151,24 @@ def test_blocks_of_messages_are_summed(spark):
     assert sorted((r.n, r.ngram, r.times) for r in rows) == [(0, "", 100), (1, "big", 50), (1, "dog", 50), (2, "big dog", 50)]
 
 
+def test_sums_are_exchanged_in_parts(spark):
+    """N-grams are exchanged as parts of bytes, and models count only what is asked for; a row for each n-gram of a block, and a table of all, came before."""
+    said = [["big", "dog", w, "\u00e9t\u00e9"] for w in "abcde"] + [["big", "dog", "big", "dog"], [], None]
+    df = spark.createDataFrame(list(enumerate(said)), "doc_id long, toks array<string>").repartition(3)
+    want = {(r.n, r.ngram): (r.cnt, r.docs) for r in ngrams.occurrences(df, urls=False).groupBy("n", "ngram").agg(F.count("*").alias("cnt"), F.countDistinct("doc_id").alias("docs")).collect()}
+    for model, at in ((lm.background(df, urls=False), 0), (lm.foreground(df, urls=False), 1)):
+        assert {(r.n, r.ngram): r.cnt for r in model.counts.collect()} == {k: v[at] for k, v in want.items()}
+        assert tuple(model.info.first()) == (24, *(sum(k[0] == n for k in want) for n in (1, 2, 3)))
+        often = model.often(3)
+        assert {(r.n, r.ngram): r.cnt for r in often.collect()} == {k: v[at] for k, v in want.items() if v[at] >= 3}
+        some = often.where("n = 2 and ngram = 'big dog'")
+        assert {(r.n, r.ngram) for r in model.of(some).collect()} == {(2, "big dog")}
+        plan = model.counts._jdf.queryExecution().optimizedPlan().toString()
+        assert "Aggregate" not in plan and "letters" in plan
+    posts = ngrams.postings(df, urls=False, only=ngrams.among(often))
+    assert {(r.n, r.ngram) for r in posts.collect()} == {k for k, v in want.items() if v[1] >= 3}
+
+
 def test_highlight(spark):
     x = sequences.highlight("t", "s", [(["to", "buy"], "[[", "]]"), (["buy", "sun"], "{{", "}}")])
     assert one(spark, x, t=["to", "buy", "sun"], s="to buy sun") == "[[to {{buy]] sun}}"
