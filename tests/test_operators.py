@@ -169,6 +169,16 @@ def test_sums_are_exchanged_in_parts(spark):
     assert {(r.n, r.ngram) for r in posts.collect()} == {k for k, v in want.items() if v[1] >= 3}
 
 
+def test_features_are_found_by_workers(spark):
+    """The features of a table's rows as those of ``feature_line``, without filters as columns on every token."""
+    said = [["It", "'", "s", "Big", "Dog"], ["@a", "@b", "x", "@c", "the", "www.zoo.org/x", "cat"], [], ["of"], None, ["one", "Two", "one", "Two"]]
+    df = spark.createDataFrame(list(enumerate(said)), "doc_id long, toks array<string>").repartition(2)
+    for urls in (True, False):
+        got = ngrams.features(df, urls=urls)
+        assert {r.doc_id: " ".join(r.features) for r in got.collect()} == {r.doc_id: r.line or "" for r in df.select("doc_id", ngrams.feature_line("toks", urls).alias("line")).collect()}
+        assert "MapInArrow" in got._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_highlight(spark):
     x = sequences.highlight("t", "s", [(["to", "buy"], "[[", "]]"), (["buy", "sun"], "{{", "}}")])
     assert one(spark, x, t=["to", "buy", "sun"], s="to buy sun") == "[[to {{buy]] sun}}"
