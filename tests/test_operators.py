@@ -261,6 +261,24 @@ def test_messages_link_as_sets_of_trigrams_do(spark, monkeypatch):
     assert sorted(neardup.message_groups(df).collect()) == sorted(neardup.neardup_groups(df, trigrams).collect())
 
 
+def test_sets_that_meet_no_other_are_not_stored(spark):
+    """Of sets, only hashes that another class may have are written, and copies are written once; whole sets of all messages were."""
+    from pyarrow import fs
+
+    said = [(f"m{i}", [f"w{i * 40 + k}" for k in range(40)]) for i in range(30)] + [(f"c{i}", [f"w{k}" for k in range(40)]) for i in range(20)] + [("near", [f"w{k}" for k in range(38)])]
+    df = spark.createDataFrame(said, "doc_id string, toks array<string>").repartition(3)
+    paths, path_of = [], neardup.new_path
+    try:
+        neardup.new_path = lambda *a: paths.append(path_of(*a)) or paths[-1]
+        members, _, pairs = neardup.message_classes(df)
+    finally:
+        neardup.new_path = path_of
+    assert {(r.a, r.b) for r in pairs.collect()} == {("c0", "near")} and members.count() == 51
+    store, path = fs.FileSystem.from_uri(next(p for p in paths if "/sets-" in p))
+    stored = sum(f.size for f in store.get_file_info(fs.FileSelector(path)))
+    assert 2 * 36 * 8 <= stored < 2 * 40 * 8 + 30 * 8  # few trigrams' counters agree by chance; 51 whole sets are 15,456 bytes
+
+
 def test_merge_components(spark):
     import random
 
