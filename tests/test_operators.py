@@ -169,6 +169,40 @@ def test_sums_are_exchanged_in_parts(spark):
     assert {(r.n, r.ngram) for r in posts.collect()} == {k for k, v in want.items() if v[1] >= 3}
 
 
+def test_workers_split_texts(spark, sf):
+    """Texts go to workers as they are and are split there; arrays of tokens were made and sent before."""
+    import pyarrow as pa
+
+    from facetloom.plans import queries
+
+    said = ["it's @a #b_9", None, "", "ab", "cd é ef", "K İx Straße, ÀB'", " .x. ", "日本 a日b", "z"]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(said)], "i int, text string").select(F.lower("text").alias("low"), F.coalesce(text.simple_tokens("text"), F.array().cast("array<string>")).alias("toks"))
+    low, toks = (list(c) for c in zip(*[(r.low, r.toks) for r in rows.collect()]))
+    assert ngrams.split_simple(pa.array(low)).to_pylist() == toks
+    assert ngrams.split_simple(pa.array(low, pa.large_string()).slice(3, 4)).to_pylist() == toks[3:7]
+    assert [r.x for r in rows.select(text.has_simple("low", "a").alias("x")).collect()] == [None if t is None else "a" in k for t, k in zip(said, toks)]
+    df = queries._docs(spark, sf)
+    for kind in (lm.foreground, lm.background):
+        one, two = kind(df, "toks", urls=False), kind(df, "low", urls=False)
+        assert one.info.collect() == two.info.collect()
+        assert one.counts.exceptAll(two.counts).isEmpty() and two.counts.exceptAll(one.counts).isEmpty()
+    for name in ("fg_df_counts", "bigrams_filtered", "trigrams_filtered"):
+        plan = queries.QUERIES[name](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+        assert "regexp_extract_all" not in plan, name
+    with pytest.raises(ValueError):
+        ngrams.sums(df, "low", urls=True)
+
+
+def test_hashes_are_exchanged_as_steps():
+    """A model's information is exchanged as hashes in order, by their differences; hashes and counts were before."""
+    import numpy as np
+
+    h = np.sort(np.random.default_rng(1).integers(0, 1 << 63, 5000, dtype=np.uint64) * np.uint64(2) + np.uint64(1))
+    stored = ngrams._planes(h)
+    assert (ngrams._from_planes(stored) == h).all() and stored.count(0) > len(h)
+    assert len(ngrams._from_planes(ngrams._planes(h[:0]))) == 0
+
+
 def test_features_are_found_by_workers(spark):
     """The features of a table's rows as those of ``feature_line``, without filters as columns on every token."""
     said = [["It", "'", "s", "Big", "Dog"], ["@a", "@b", "x", "@c", "the", "www.zoo.org/x", "cat"], [], ["of"], None, ["one", "Two", "one", "Two"]]
