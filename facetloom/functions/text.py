@@ -56,7 +56,9 @@ PROTECTED = [
     r"[♫]+",
     r"(?:(?<!\S)|\G)\S[^\s']*+'\S++",
 ]
-PROTECT = "(?U)" + "|".join(PROTECTED)
+#: A run of whole words of letters and digits, which hold nothing to protect: passed over at once, to be padded as a whole.
+PLAIN = r"(?<![^ ])[0-9\p{L}]++(?![^ ])(?: [0-9\p{L}]++(?![^ ]))*+"
+PROTECT = "(?U)" + "|".join([PLAIN, *PROTECTED])
 
 
 def _col(c: Column | str) -> Column:
@@ -65,7 +67,7 @@ def _col(c: Column | str) -> Column:
 
 def squeeze(text: Column | str) -> Column:
     """White space runs as one space, none at the ends."""
-    return F.trim(F.regexp_replace(_col(text), r"(?U)\s+", " "))
+    return F.trim(F.regexp_replace(_col(text), r"(?U) \s+|(?! )\s\s*+", " "))
 
 
 def munge_edges(text: Column | str) -> Column:

@@ -140,6 +140,7 @@ def mixed(x: np.ndarray) -> np.ndarray:
 #: Which bytes simple tokens (``text.SIMPLE``) are made of; all bytes of other characters are none.
 _SIMPLE = np.zeros(256, dtype=bool)
 _SIMPLE[list(b"abcdefghijklmnopqrstuvwxyz0123456789_@#'")] = True
+_NO_SPACE = np.arange(256) != 32
 
 
 def _strings(values: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -157,8 +158,17 @@ def _strings(values: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def split_simple(low: pa.Array) -> pa.Array:
     """The simple tokens of texts that are in lower case, as ``text.simple_tokens`` finds them."""
-    letters, ends = _strings(low)
-    inside = _SIMPLE[letters]
+    return _split(low, _SIMPLE)
+
+
+def split_lines(lines: pa.Array) -> pa.Array:
+    """The tokens of lines, which are between spaces."""
+    return _split(lines, _NO_SPACE)
+
+
+def _split(texts: pa.Array, kind: np.ndarray) -> pa.Array:
+    letters, ends = _strings(texts)
+    inside = kind[letters]
     begins = inside.copy()
     begins[1:] &= ~inside[:-1]
     rows = ends[:-1][ends[:-1] < len(letters)]
@@ -184,12 +194,13 @@ def _distinct(values: np.ndarray) -> np.ndarray:
 class Block:
     """The tokens of some messages, numbered by their words, and where their n-grams begin.
 
-    Messages are arrays of tokens or texts in lower case, whose simple tokens are found here.
+    Messages are arrays of tokens or strings: texts in lower case, whose simple tokens are found here,
+    or (``lines``) tokens with spaces between them.
     """
 
-    def __init__(self, tokens: pa.Array, links: frozenset[str]) -> None:
+    def __init__(self, tokens: pa.Array, links: frozenset[str], lines: bool = False) -> None:
         if _is_text(tokens.type):
-            tokens = split_simple(tokens)
+            tokens = split_lines(tokens) if lines else split_simple(tokens)
         self.size = pc.fill_null(pc.list_value_length(tokens), 0).to_numpy(zero_copy_only=False).astype(np.int64)
         coded = tokens.flatten().dictionary_encode()
         self.words, self.ids = coded.dictionary, coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
@@ -284,15 +295,27 @@ def token_blocks(batch: pa.RecordBatch, column: int, most: int = BLOCK_TOKENS) -
 
 
 def with_links(df: DataFrame, columns: tuple[str, ...], tokens: str, urls: bool) -> DataFrame:
-    """The columns, and ``__toks`` and ``__links``: a row's tokens (or its text in lower case, which has simple tokens,
-    split in workers) and those of them that hold a URL."""
+    """The columns, and ``__toks`` and ``__links``: a row's tokens and those of them that hold a URL.
+
+    Strings are split in workers: without ``urls`` they are texts in lower case with simple tokens, else ``lines``.
+    """
     if urls and isinstance(df.schema[tokens].dataType, T.StringType):
-        raise ValueError("simple tokens are no URLs")
+        if "links" not in df.columns:
+            raise ValueError("simple tokens are no URLs")
+        return df.select(*columns, F.col(tokens).alias("__toks"), F.col("links").alias("__links"))
     toks, none = F.col(tokens), F.array().cast("array<string>")
     may = lambda t: (F.contains(t, F.lit(".")) | F.contains(t, F.lit("/"))) & text.has_url(t)
     return df.select(*columns, toks.alias("__toks"), (F.filter(toks, may) if urls else none).alias("__links"))
 
 
+def lines(df: DataFrame, keep: tuple[str, ...], tokens: Column) -> DataFrame:
+    """(keep..., line, links): tokens that are not empty and hold no space, joined by spaces, and those of them that hold a URL."""
+    said = df.select(*keep, F.array_join(tokens, " ").alias("line"))
+    some = F.rlike("line", F.lit("[^ ][./]|[./][^ ]"))  # a token of several characters, one of them a stop or a slash
+    found = F.filter(F.split("line", " "), lambda t: (F.contains(t, F.lit(".")) | F.contains(t, F.lit("/"))) & text.has_url(t))
+    return said.withColumn("links", F.when(some, found).otherwise(F.array().cast("array<string>")))
+
+
 @lru_cache(1 << 14)
 def _known(uri: str, part: int) -> np.ndarray:
     try:
@@ -387,7 +410,7 @@ def tally(df: DataFrame, tokens: str = "toks", urls: bool = True, once: bool = F
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for share in (p for batch in batches for p in token_blocks(batch, 0)):
-            block = Block(share.column(0), frozenset(share.column(1).flatten().to_pylist()))
+            block = Block(share.column(0), frozenset(share.column(1).flatten().to_pylist()), urls)
             out = [(0, 0, b"", int(block.size.sum()).to_bytes(4, "little"))]
             for n in (1, 2, 3):
                 if least is None:
@@ -444,7 +467,7 @@ def sums(df: DataFrame, tokens: str = "toks", urls: bool = True, orders: tuple[i
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for share in (p for batch in batches for p in token_blocks(batch, 0)):
-            block = Block(share.column(0), frozenset(share.column(1).flatten().to_pylist()))
+            block = Block(share.column(0), frozenset(share.column(1).flatten().to_pylist()), urls)
             out = []
             for n in orders:
                 first, cnt, own = block.counts(n, once or docs)
@@ -503,7 +526,7 @@ def occurrences(
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in (p for batch in batches for p in token_blocks(batch, at)):
-            block = Block(part.column(at), frozenset(part.column(at + 1).flatten().to_pylist()))
+            block = Block(part.column(at), frozenset(part.column(at + 1).flatten().to_pylist()), urls)
             for n in orders:
                 row, number, first = block.grams(n)
                 if only is not None:
@@ -546,7 +569,7 @@ def features(df: DataFrame, tokens: str = "toks", keep: tuple[str, ...] = ("doc_
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in (p for batch in batches for p in token_blocks(batch, at)):
-            block = Block(part.column(at), frozenset(part.column(at + 1).flatten().to_pylist()))
+            block = Block(part.column(at), frozenset(part.column(at + 1).flatten().to_pylist()), urls)
             one, two = block.starts(1), block.starts(2)
             row = np.concatenate([block.row[one], block.row[two]])
             order = np.argsort(row, kind="stable")
@@ -583,7 +606,7 @@ def followers(df: DataFrame, tokens: str = "toks", urls: bool = True) -> DataFra
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in (p for batch in batches for p in token_blocks(batch, 0)):
-            block = Block(part.column(0), frozenset(part.column(1).flatten().to_pylist()))
+            block = Block(part.column(0), frozenset(part.column(1).flatten().to_pylist()), urls)
             at = block.starts(2)
             pair = pa.array(block.row[at] * len(block.words) + block.ids[at]).unique().to_numpy()
             count = np.bincount(pair % max(1, len(block.words)), minlength=len(block.words))

@@ -76,14 +76,21 @@ class Engine:
     """Searches over a table of messages (doc_id, text, created_at, from_user, iso_language_code and any more).
 
     ``tokens`` is the tokenizer of messages, queries and the background alike; ``urls``:
-    whether its tokens may be URLs, which longer phrases must not hold.
+    whether its tokens may be URLs, which longer phrases must not hold. ``lines``, the
+    corpus's (doc_id, iso_language_code, line: tokens with spaces between them), if it is
+    there, is what a page is looked up in: only the page's own messages are tokenized then.
     """
 
-    def __init__(self, corpus: DataFrame, background: lm.LanguageModel, tokens: Callable[[str], Column] = tokens_of, urls: bool = True) -> None:
-        self.corpus, self.background, self.tokens, self.urls = corpus, background, tokens, urls
+    def __init__(self, corpus: DataFrame, background: lm.LanguageModel, tokens: Callable[[str], Column] = tokens_of, urls: bool = True, lines: DataFrame | None = None) -> None:
+        self.corpus, self.background, self.tokens, self.urls, self.lines = corpus, background, tokens, urls, lines
 
     def read(self, o: QueryOptions) -> DataFrame:
         df = messages.english(self.corpus) if o.english else self.corpus
+        if self.lines is not None and o.pages is not None:
+            said = messages.english(self.lines) if o.english else self.lines
+            page = said.where(messages.matches_line(o.q, F.col("line"))).select("doc_id").orderBy(F.desc("doc_id")).limit(o.pages * o.rpp)
+            # every message that has one of the page's ids, the same message twice too: the search below decides
+            df = df.join(F.broadcast(materialize(page.distinct(), "page")), "doc_id", "left_semi")  # pages * rpp rows at most
         df = messages.search(df, o.q, o.pages, o.rpp, self.tokens)
         merged = dedupe.merge_same_text(dedupe.hard_dedupe(df, o.dedupe_key))
         return materialize(merged.withColumn("toks", self.tokens("text")), "messages")

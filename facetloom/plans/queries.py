@@ -508,10 +508,10 @@ def trigram_report(spark, d):
 def _search(spark, d):
     """A search over the whole tokenizer's tokens, against the messages that don't match."""
     corpus = messages.from_documents(spark, d)
-    toks = materialize(corpus.withColumn("toks", tokens_of("text")).select("doc_id", "toks"), "tokens")
-    bg = lm.background(toks.where(~F.coalesce(messages.matches(Q, F.col("toks")), F.lit(False))))
+    lines = materialize(ngrams.lines(corpus, ("doc_id", "iso_language_code"), tokens_of("text")), "lines")
+    bg = lm.background(lines.where(~F.coalesce(messages.matches_line(Q, F.col("line")), F.lit(False))), "line")
     options = QueryOptions(q=Q)
-    engine = Engine(corpus, bg)
+    engine = Engine(corpus, bg, lines=lines)
     return engine, options, engine.search(options)
 
 

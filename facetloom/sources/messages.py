@@ -130,6 +130,18 @@ def matches(query: str, tokens: Column, text: Column | None = None) -> Column:
     return out
 
 
+def matches_line(query: str, line: Column) -> Column:
+    """``matches`` of tokens that are joined by spaces."""
+    within = F.concat(F.lit(" "), line, F.lit(" "))
+    out = F.lit(False)
+    for part in query.split(" OR "):
+        found = F.lit(True)
+        for term in parse_query(part):
+            found = found & F.contains(within, F.lit(f" {' '.join(term)} "))
+        out = out | found
+    return out
+
+
 def search(df: DataFrame, query: str, pages: int | None = 2, rpp: int = 100, tokens: Callable[[str], Column] = simple_tokens) -> DataFrame:
     """Messages that match, newest ids first: ``pages`` pages of ``rpp`` (None: all)."""
     found = df.where(matches(query, tokens("text"), F.col("text")))

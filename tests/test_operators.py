@@ -436,6 +436,38 @@ def test_drill_down(spark, searched):
     assert {i for r in engine.drill_down(o, "big dog").docs.collect() for i in r.ids} == {1, 2, 3, 4, 5}
 
 
+def test_page_is_looked_up_in_lines(spark, searched):
+    """With the corpus's tokens stored as lines, only a page's messages are tokenized; all that might match were before."""
+    from facetloom.plans.engine import Engine, tokens_of
+
+    engine, o, _ = searched
+    lines = ngrams.lines(engine.corpus, ("doc_id", "iso_language_code"), tokens_of("text"))
+    other = Engine(engine.corpus, engine.background, lines=lines)
+    rows = lambda r: sorted(map(str, r.drop("created_at").collect()))
+    for q in ('big "dog barks"', "cat OR lone"):
+        option = QueryOptions(q=q, pages=1, rpp=2, min_count=2)
+        assert rows(other.read(option)) == rows(engine.read(option)), q
+    both = lines.join(engine.corpus.select("doc_id", tokens_of("text").alias("toks")), "doc_id")
+    for q in ("big", '"big dog"', "cat OR lone"):
+        assert both.where(messages.matches_line(q, F.col("line")) != messages.matches(q, F.col("toks"))).isEmpty()
+    one, two = (ngrams.occurrences(both, c, summed=True, keep=()) for c in ("line", "toks"))
+    assert sorted(one.collect()) == sorted(two.collect())
+
+
+def test_plain_words_are_passed_over(spark, sf):
+    """Runs of plain words are one match of the tokenizer's pattern, which changes no token."""
+    said = spark.read.parquet(f"{sf}/documents.parquet").select("text").unionByName(spark.createDataFrame([(t,) for t in ("a b.c d", "é ü. a.b. c", "www. x.com y", "x.com", " a  b\u00a0c\n", "it's 10:30 a", "" )], "text string"))
+    plain = text.PROTECT
+    assert plain.startswith("(?U)" + text.PLAIN)
+    new = said.select("text", text.tokenize("text").alias("new"))
+    text.PROTECT = "(?U)" + "|".join(text.PROTECTED)
+    try:
+        assert new.where(~F.col("new").eqNullSafe(text.tokenize("text"))).isEmpty()
+    finally:
+        text.PROTECT = plain
+    assert said.where(text.squeeze("text") != F.trim(F.regexp_replace("text", r"(?U)\s+", " "))).isEmpty()
+
+
 def test_paged_source(spark):
     import json
 
