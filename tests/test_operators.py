@@ -313,6 +313,24 @@ def test_sets_that_meet_no_other_are_not_stored(spark):
     assert 2 * 36 * 8 <= stored < 2 * 40 * 8 + 30 * 8  # few trigrams' counters agree by chance; 51 whole sets are 15,456 bytes
 
 
+def test_intermediate_files_go(spark):
+    """Sets, counters and exchanges are deleted when nothing reads them again; they stayed with the session before."""
+    import glob
+
+    from facetloom import shared
+
+    base = shared.shared_dir(spark).removeprefix("file://") + "/facetloom"
+    before = set(glob.glob(f"{base}/*"))
+    docs = spark.createDataFrame([(i, "one two three four five six".split()) for i in range(3)], "doc_id long, toks array<string>")
+    assert {r.group_id for r in neardup.message_groups(docs).collect()} == {0}
+    left = {p.rsplit("/", 1)[1].split("-")[0] for p in set(glob.glob(f"{base}/*")) - before}
+    assert not left & {"sets", "counters", "copies"} and "pairs" in left
+    setting = spark.conf.get(shared._CLEANUP)
+    with shared.passing(spark):
+        assert spark.conf.get(shared._CLEANUP) == "true"
+    assert spark.conf.get(shared._CLEANUP) == setting
+
+
 def test_merge_components(spark):
     import random
 
