@@ -8,7 +8,8 @@ documents there are. Pieces take the planned slots by their rank within their le
 
 Ranks are two-level: pieces are dealt over ``BUCKETS`` buckets of each length, numbered
 there, and shifted by the counts of the buckets before, so a length that a third of all
-pieces have is no single task's work.
+pieces have is no single task's work. Those counts have at most ``TOKENS * BUCKETS`` rows
+(1 MB as an array) whatever the input, so they are broadcast: no join sorts the pieces.
 
 Tokens never span white space in this vocabulary, so each distinct word is tokenized once
 per worker and remembered; texts in which a special token is spelled out are tokenized
@@ -21,9 +22,11 @@ rows that repeat are packed each; an empty table gives no rows.
 from __future__ import annotations
 
 import os
+import struct
 import unicodedata
 import zlib
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -35,15 +38,16 @@ from facetloom.shared import materialize
 
 TOKENS = 4096
 END_ID = 1
-BUCKETS = 512
-#: Bytes of remembered ids at which a worker forgets them.
-MEMO_BYTES = 192 << 20
+BUCKETS = 32
+#: Bytes of words and ids that a worker remembers.
+MEMO_BYTES = 128 << 20
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, bucket int"
 
 
 #: Letters below this code point are tokenized by the merges alone, without the tokenizer's Unicode passes.
 PLAIN_LETTERS = 0x180
+MARKS = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
 def byte_letters() -> list[str]:
@@ -56,8 +60,10 @@ def byte_letters() -> list[str]:
 class WordTokenizer:
     """Little-endian uint32 ids of texts, with a memory of words.
 
-    A word is what stands between white space, and a word of letters before a full stop or
-    comma is remembered without it. Words of common letters go straight to the merges.
+    A word is what stands between white space. Marks that follow common letters are a run of
+    their own, so such a word is remembered without them; its letters go straight to the
+    merges. The memory has two generations: words of the older one that occur again are
+    kept, the others are forgotten.
     """
 
     def __init__(self, path: str) -> None:
@@ -68,40 +74,53 @@ class WordTokenizer:
         self.merge = self.tokenizer.model.tokenize
         self.letters = byte_letters()
         self.memo: dict[bytes, bytes] = {}
-        self.cores: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
         self.held = 0
-        self.marks = {m: self.whole(m.decode()) for m in (b".", b",")}
 
     def whole(self, text: str) -> bytes:
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
-    def core(self, word: bytes) -> bytes:
-        """Ids of a word with A-Z lower-cased."""
-        ids = self.cores.get(word)
+    def keep(self, word: bytes, ids: bytes) -> bytes:
+        self.memo[word] = ids
+        self.held += len(word) + len(ids) + 160
+        return ids
+
+    def plain(self, word: bytes) -> str:
+        """A word of common letters, lower-cased; empty for others."""
+        if word.isalpha():
+            return word.decode()
+        text = unicodedata.normalize("NFC", word.decode()).lower()
+        return text if text.isalpha() and max(text) < chr(PLAIN_LETTERS) else ""
+
+    def common(self, word: bytes) -> bytes:
+        """Ids of a word of common letters with A-Z lower-cased; empty for others."""
+        text = self.plain(word)
+        if not text:
+            return b""
+        ids = self.memo.get(word)
         if ids is None:
-            if word.isalpha():
-                ids = np.asarray([t.id for t in self.merge(word.decode())], dtype="<u4").tobytes()
-            else:
-                text = word.decode()
-                low = "".join(c.lower() for c in unicodedata.normalize("NFC", text))
-                if low.isalpha() and max(low) < chr(PLAIN_LETTERS):
-                    ids = np.asarray([t.id for t in self.merge("".join(map(self.letters.__getitem__, low.encode())))], dtype="<u4").tobytes()
-                else:
-                    ids = self.whole(text)
-            self.cores[word] = ids
-            self.held += len(word) + len(ids) + 160
+            ids = self.old.get(word)
+            if ids is None:
+                found = [t.id for t in self.merge(text if text.isascii() else "".join(map(self.letters.__getitem__, text.encode())))]
+                ids = struct.pack(f"<{len(found)}I", *found)
+            self.keep(word, ids)
         return ids
 
     def learn(self, words: set[bytes]) -> None:
-        if self.held > MEMO_BYTES:
-            self.memo.clear()
-            self.cores.clear()
-            self.held = 0
+        if self.held > MEMO_BYTES // 2:
+            self.memo, self.old, self.held = {}, self.memo, 0
         for w in words.difference(self.memo):
-            low, mark = w.lower(), w[-1:]
-            ids = self.core(low[:-1]) + self.marks[mark] if mark in self.marks and low[-2:-1].isalpha() else self.core(low)
-            self.memo[w] = ids
-            self.held += len(w) + len(ids) + 160
+            ids = self.old.get(w)
+            if ids is None:
+                low = w.lower()
+                core = low.rstrip(MARKS)
+                ids = core and self.common(core)
+                if not ids:
+                    ids = self.whole(low.decode())
+                elif len(core) < len(low):
+                    tail = low[len(core) :]
+                    ids += self.memo.get(tail) or self.keep(tail, self.whole(tail.decode()))
+            self.keep(w, ids)
 
     def __call__(self, texts: list[bytes | None]) -> Iterator[bytes]:
         for text in texts:
@@ -116,11 +135,17 @@ class WordTokenizer:
                 yield b"".join(map(self.memo.__getitem__, words))
 
 
+@cache
+def word_tokenizer(path: str) -> WordTokenizer:
+    """A worker's tokenizer, whose memory of words lasts from task to task."""
+    return WordTokenizer(path)
+
+
 def pieces(docs: DataFrame, tokenizer: str, tokens: int = TOKENS, end_id: int = END_ID, buckets: int = BUCKETS) -> DataFrame:
     """A row for each piece of each document: its place in the document, length, checksum and bucket."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, end, deal = WordTokenizer(tokenizer), np.asarray([end_id], dtype="<u4").tobytes(), 0
+        encode, end, deal = word_tokenizer(tokenizer), np.asarray([end_id], dtype="<u4").tobytes(), 0
         step = 4 * tokens
         for batch in batches:
             out: list[list] = [[], [], [], [], [], []]
@@ -183,24 +208,23 @@ def plan(counts: dict[int, int], room: int = TOKENS) -> list[tuple[int, int, int
     return rows
 
 
-def place(cut: DataFrame, room: int = TOKENS) -> DataFrame:
+def place(cut: DataFrame, room: int = TOKENS, buckets: int = BUCKETS) -> DataFrame:
     """Adds sequence_id and offset to materialized pieces, by rank within their length."""
-    spark = cut.sparkSession
-    counts = cut.groupBy("length", "bucket").count()
-    totals = {r.length: r["sum(count)"] for r in counts.groupBy("length").sum("count").collect()}  # a row for each length
-    rows = sorted(plan(totals, room))
+    counts = cut.groupBy("length", "bucket").count().toArrow()  # a row for each length and bucket
+    first = np.zeros((room + 1, buckets + 1), dtype=np.int64)  # of a bucket: pieces of its length in the buckets before
+    first[counts["length"].to_numpy(), counts["bucket"].to_numpy() + 1] = counts["count"].to_numpy()
+    first = np.cumsum(first, axis=1)
+    rows = sorted(plan({n: int(first[n, -1]) for n in np.flatnonzero(first[:, -1]).tolist()}, room))
     key = np.asarray([r[0] << 44 | r[1] for r in rows], dtype=np.int64)
-    slots = spark.sparkContext.broadcast((key, np.asarray(rows, dtype=np.int64).reshape(-1, 6)))
-    before = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select("length", "bucket", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("first"))
+    slots = cut.sparkSession.sparkContext.broadcast((key, np.asarray(rows, dtype=np.int64).reshape(-1, 6), first))
     within = Window.partitionBy("length", "bucket").orderBy("doc_id", "piece")
-    ranked = cut.withColumn("n", F.row_number().over(within)).join(starts, ["length", "bucket"])
-    ranked = ranked.select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("first") + F.col("n") - 1).alias("rank"))
+    ranked = cut.withColumn("n", F.row_number().over(within))
 
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, rows = slots.value
+        key, rows, first = slots.value
         for batch in batches:
-            length, rank = (batch.column(c).to_numpy() for c in ("length", "rank"))
+            length, bucket, n = (batch.column(c).to_numpy() for c in ("length", "bucket", "n"))
+            rank = first[length, bucket] + n - 1
             row = rows[np.searchsorted(key, length << 44 | rank, side="right") - 1]
             at = rank - row[:, 1]
             sequence, offset = row[:, 3] + at // np.maximum(row[:, 4], 1), row[:, 5] + at % np.maximum(row[:, 4], 1) * length

@@ -131,3 +131,34 @@ def test_word_tokenizer(texts):
     words = packing.WordTokenizer(packing.default_tokenizer())
     got = list(words([t.encode() for t in texts]))
     assert got == [words.whole(t) for t in texts]
+
+
+MARKED = ["a… a….", "x-y x-y.", "é€ é€, É€.", "don' don't, don't.", "a***. a*** ÉA*** éa. 1. 1,", "'s. s' .s …. …", "ª. ªb* İ. ς."]
+
+
+def test_words_before_marks():
+    words = packing.WordTokenizer(packing.default_tokenizer())
+    assert list(words([t.encode() for t in MARKED])) == [words.whole(t) for t in MARKED]
+
+
+def test_memory_of_words_is_bounded(monkeypatch):
+    """Words that are forgotten get the same ids again; what recurs is kept, and never more than a text beyond the bound."""
+    monkeypatch.setattr(packing, "MEMO_BYTES", 40_000)
+    words = packing.WordTokenizer(packing.default_tokenizer())
+    texts = [f"often seldom{'abcdefghij'[i % 10]}{'klmnopqrst'[i // 10 % 10]}{'uvwxyzabcd'[i // 100]} Often, {i}" for i in range(1000)] * 2
+    for text, ids in zip(texts, words([t.encode() for t in texts]), strict=True):
+        assert ids == words.whole(text)
+        held = sum(len(w) + len(x) + 160 for memo in (words.memo, words.old) for w, x in memo.items())
+        assert held < 45_000 and b"often" in words.memo.keys() | words.old.keys()
+
+
+def test_worker_keeps_its_tokenizer():
+    path = packing.default_tokenizer()
+    assert packing.word_tokenizer(path) is packing.word_tokenizer(path)
+
+
+def test_pieces_are_sorted_once(spark, sf_dir, capsys):
+    """No join: it sorted all pieces again, in pages of the executors' heaps."""
+    op9_best_fit_packing(spark, sf_dir).explain()
+    said = capsys.readouterr().out
+    assert "Join" not in said and said.count("Sort ") == 1
